@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsq.llm import packing, token_output
+from obsq.llm import ngram_join, packing, token_output
 from obsq.llm.common import table
 
 
@@ -21,12 +21,16 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.op2_token_output(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op3_ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9_packing(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_output": op2_token_output, "op9_packing": op9_packing}
+    return {"op2_token_output": op2_token_output, "op3_ngram_join": op3_ngram_join, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
