@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsq.llm import ngram_join, packing, token_output
+from obsq.llm import decontaminate, ngram_join, packing, token_output
 from obsq.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op1_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.op2_token_output(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -30,7 +34,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_output": op2_token_output, "op3_ngram_join": op3_ngram_join, "op9_packing": op9_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_token_output": op2_token_output, "op3_ngram_join": op3_ngram_join, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
