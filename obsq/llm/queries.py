@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsq.llm import decontaminate, ngram_join, packing, token_output
+from obsq.llm import decontaminate, line_dedup, ngram_join, packing, token_output
 from obsq.llm.common import table
 
 
@@ -29,13 +29,17 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op3_ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op4_line_dedup(table(spark, sf_dir, "documents"), 10)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9_packing(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_token_output": op2_token_output, "op3_ngram_join": op3_ngram_join, "op9_packing": op9_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_token_output": op2_token_output, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE.format(words=10)}
