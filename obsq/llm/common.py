@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,12 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now, not when the driver's heap happens to fill up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI of the shared folder, or of a plain path."""
     from pyarrow import fs
@@ -190,7 +197,7 @@ class Bloom:
     Its size follows the number of keys up to a bound, so what is broadcast never outgrows it.
     """
 
-    MOST_BITS = 1 << 26
+    MOST_BITS = 1 << 27
 
     def __init__(self, words: np.ndarray) -> None:
         self.words, self.mask = words, U64(len(words) * 64 - 1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsq.llm.common import U64, WHITE, Bloom, Roller, constants, cut, discard, fit_columns, lower_ascii, mix, ship, signed, small, text_slices, words_of
+from obsq.llm.common import U64, WHITE, Bloom, Roller, constants, cut, discard, fit_columns, lower_ascii, mix, release, ship, signed, small, text_slices, words_of
 from obsq.llm.components import components
 
 _SALT = constants(16, 77)
@@ -132,11 +132,33 @@ def _lists(rows_kept: np.ndarray, at: np.ndarray, values: np.ndarray, rows: int)
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(signed(values[take])))
 
 
+def in_common(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray, cells: int = 1 << 23) -> np.ndarray:
+    """How many values lists a and lists b share, for each pair; values that only one list has don't enter the product."""
+    n = np.array([len(x) for x in lists])
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not n.sum():
+        return out
+    value, which, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), n)
+    taken = np.flatnonzero(count > 1)
+    rank = np.full(len(value), -1)
+    rank[taken] = np.arange(len(taken))
+    column = rank[which]
+    step = max(1, cells // len(lists))
+    for lo in range(0, len(taken), step):
+        here = (column >= lo) & (column < lo + step)
+        m = np.zeros((len(lists), min(step, len(taken) - lo)), np.float32)
+        m[row[here], column[here] - lo] = 1
+        out += m[a] @ m[b].T
+    return out
+
+
 class JaccardJoin:
     """The steps of the join over a table of documents; link() runs them."""
 
-    #: Groups of at most so many unresolved members are compared pair by pair; larger ones in blocks of this size.
-    BLOCK = 64
+    #: Groups of at most FEW unresolved members are compared pair by pair; larger ones in blocks of up to BLOCK.
+    FEW = 64
+    BLOCK = 512
 
     def __init__(self, docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> None:
         self.spark = ship(docs.sparkSession)
@@ -166,26 +188,41 @@ class JaccardJoin:
 
         return self.docs.mapInArrow(run, "key long")
 
-    def _involved(self, known: Bloom) -> DataFrame:
-        """node, elements, keys of sets with a signature that may have company."""
+    def _hits(self, known: Bloom) -> DataFrame:
+        """key, node of signatures that may have company."""
         n, scheme = self.n, self.scheme
-        shared = self.spark.sparkContext.broadcast((known.words, known.mask))  # bounded by Bloom.MOST_BITS
+        shared = self.spark.sparkContext.broadcast(known.words)  # bounded by Bloom.MOST_BITS
 
         def run(batches):
-            bloom = Bloom(shared.value[0])
+            bloom = Bloom(shared.value)
             for b in batches:
                 for _, rows, at, h in shingle_sets(b.column(1), n):
                     row, key = scheme.signatures(rows, at, h)
                     hit = np.flatnonzero(bloom.has(key))
-                    row, key = row[hit], key[hit]
-                    order = np.argsort(row, kind="stable")
-                    row, key = row[order], key[order]
-                    _, node = _set_keys(rows, at, h)
-                    kept = np.unique(row)
+                    node, key = _set_keys(rows, at, h)[1][row[hit]], signed(key[hit])
+                    order = np.lexsort((node, key))
+                    key, node = key[order], node[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], names=["key", "node"])
+
+        return self.docs.mapInArrow(run, "key long, node long").distinct()
+
+    def _sets(self, known: Bloom) -> DataFrame:
+        """node, elements of the nodes in a bit table, and few others."""
+        n = self.n
+        shared = self.spark.sparkContext.broadcast(known.words)
+
+        def run(batches):
+            bloom = Bloom(shared.value)
+            for b in batches:
+                for _, rows, at, h in shingle_sets(b.column(1), n):
+                    size, node = _set_keys(rows, at, h)
+                    kept = np.flatnonzero(bloom.has(node) & (size > 0))
                     kept = kept[np.unique(node[kept], return_index=True)[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[kept]), _lists(kept, at, h, rows), _lists(kept, row, key, rows)], names=["node", "elements", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[kept]), _lists(kept, at, h, rows)], names=["node", "elements"])
 
-        return self.docs.mapInArrow(run, "node long, elements array<long>, keys array<long>").dropDuplicates(["node"])
+        return self.docs.mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
 
     def _similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that are similar enough."""
@@ -196,37 +233,49 @@ class JaccardJoin:
         return both.where(self.den * common >= self.num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
     def _within(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between members(key, node, component, size) of large groups, each pair of blocks in a task of its own."""
-        num, den, block = self.num, self.den, self.BLOCK
-        blocks = F.ceil(F.col("size") / block).cast("int")
+        """Links between members(key, node, component, size) of large groups, each pair of blocks in a task of its own.
+
+        Two members are compared under the first key they have in common.
+        """
+        num, den = self.num, self.den
+        blocks = F.ceil(F.col("size") / self.BLOCK).cast("int")
+        keys = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
         rows = members.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks.cast("long")).cast("int").alias("own"))
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(sets.select("node", "elements"), "node")
-        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "elements")
+        rows = rows.join(sets.select("node", "elements").join(keys, "node"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "elements", "keys")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-            a, b = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-            top = dict(zip(pdf["node"], pdf["component"]))
+            i, j, key = pdf["i"].iat[0], pdf["j"].iat[0], pdf["key"].iat[0]
+            own, node, top = pdf["own"].to_numpy(), pdf["node"].to_numpy(), pdf["component"].to_numpy()
+            size = pdf["elements"].map(len).to_numpy()
+            a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            open_ = top[a][:, None] != top[b][None, :]
+            if i == j:
+                open_ &= node[a][:, None] < node[b][None, :]
+            low, high = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
+            open_ &= den * low >= num * high
+            open_ &= in_common([k[k < key] for k in pdf["keys"]], a, b) == 0
+            x, y = np.nonzero(open_)
+            if not len(x):
+                return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+            use = np.zeros(len(pdf), bool)
+            use[a[x]] = use[b[y]] = True
+            elements = [e if u else e[:0] for e, u in zip(pdf["elements"], use)]
+            common = in_common(elements, a, b)[x, y]
+            good = den * common >= num * (size[a[x]] + size[b[y]] - common)
             root: dict[int, int] = {}
 
-            def find(x):
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
+            def find(v):
+                while root.get(v, v) != v:
+                    v = root[v]
+                return v
 
             found = []
-            held = [(node, set(e.tolist())) for node, e in zip(b["node"], b["elements"])]
-            for node, e in zip(a["node"], a["elements"]):
-                e = set(e.tolist())
-                for other, f in held:
-                    if node == other or (i == j and node > other) or min(len(e), len(f)) * den < max(len(e), len(f)) * num:
-                        continue
-                    x, y = find(top[node]), find(top[other])
-                    if x != y:
-                        common = len(e & f)
-                        if den * common >= num * (len(e) + len(f) - common):
-                            root[x] = y
-                            found.append((node, other))
+            for u, v in zip(a[x[good]].tolist(), b[y[good]].tolist()):
+                p, q = find(top[u]), find(top[v])
+                if p != q:
+                    root[p] = q
+                    found.append((node[u], node[v]))
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
@@ -234,25 +283,30 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Enough links (a, b) between nodes to span every component of the similarity graph, and no others."""
         counted = cut(self._signatures().groupBy("key").count().where("count > 1").select("key"), "signatures")
-        sets = cut(self._involved(Bloom.of(counted, counted.count())), "sets")
-        discard(counted)
-        held = sets.select("node", F.explode("keys").alias("key"))
+        release(self.spark)
+        held = cut(self._hits(Bloom.of(counted, counted.count())), "hits")
         groups = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         members = cut(held.join(groups, "key"), "members")
+        discard(counted, held)
+        nodes = cut(members.select("node").distinct(), "nodes")
+        sets = cut(self._sets(Bloom.of(nodes, nodes.count())), "sets")
+        release(self.spark)
         score = members.groupBy("node").agg(F.sum("size").alias("score"))
         centre = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
         tried = cut(members.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "tried")
         found = cut(self._similar(tried, sets), "links")
+        release(self.spark)
         component = components(found)
         placed = members.join(component, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         rest = cut(placed.join(open_, "key"), "rest")
-        a, b = rest.where(F.col("size") <= self.BLOCK).alias("a"), rest.alias("b")
+        a, b = rest.where(F.col("size") <= self.FEW).alias("a"), rest.alias("b")
         apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         apart = cut(apart.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
-        more = self._similar(apart, sets).union(self._within(rest.where(F.col("size") > self.BLOCK), sets))
+        more = self._similar(apart, sets).union(self._within(rest.where(F.col("size") > self.FEW), sets))
         out = cut(found.union(more), "links")
-        self.figures = {"members": members, "tried": tried, "found": found, "rest": rest, "apart": apart}
+        self.figures = {x.cut_path.rsplit("/", 1)[1].split("-")[1]: x for x in (members, tried, found, rest, apart)}
+        release(self.spark)
         return out
 
     def link(self) -> DataFrame:

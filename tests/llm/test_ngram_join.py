@@ -62,6 +62,7 @@ def test_components_equal_brute_force(spark, seed):
 
 
 def test_blocks_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(JaccardJoin, "FEW", 3)
     monkeypatch.setattr(JaccardJoin, "BLOCK", 4)
     texts = near_copies(7, 6, 60)
     got = op3_ngram_join(spark.createDataFrame([(d, t, "k", 1) for d, t in texts], SCHEMA)).collect()
