@@ -13,7 +13,8 @@ each of those is in the run's other copies too, as it follows from the lines alo
 are looked up, and what is deleted is every later copy of each maximal repeated run, whole.
 
 Names are 64-bit hashes in place of sorted ranks: what is deleted depends on equality alone. No group is gathered: an
-interval is a count and its least place, and both are summed before the shuffle.
+interval is a count and its least place, and both are summed before the shuffle. Ids and intervals grow with the corpus,
+so they are joined by sorting both sides, whatever their size, and Spark splits the partitions of very common lines.
 
 Defined cases: a null text stays null, with no lines; rows with equal doc_id and equal text are one document and get
 equal results; a null doc_id comes last in the order; where copies overlap, the later one's lines go; lines are compared
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from obsq.llm.common import cut, discard, small
+from obsq.llm.common import cut, discard, release
 
 _LAST = (1 << 63) - 1
 
@@ -41,7 +42,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     spaces = F.length("line") - F.length(F.translate("line", " ", ""))
     lines = cut(split.select("key", "doc", "at", F.xxhash64("line").alias("id"), F.when(F.trim("line") == "", 0).otherwise(spaces + 1).cast("long").alias("words")), "lines")
     common = cut(lines.groupBy("id").count().where("count > 1").select("id"), "ids")
-    active = lines.join(small(common), "id").repartition("key").dropDuplicates(["key", "at"])
+    active = lines.join(common.hint("merge"), "id").repartition("key").dropDuplicates(["key", "at"])
 
     # Stretches of lines that all occur elsewhere, and in them the shortest runs with enough words.
     active = active.withColumn("stretch", F.col("at") - F.row_number().over(W.partitionBy("key").orderBy("at")))
@@ -56,6 +57,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     )
     active = cut(active.select("key", "doc", "at", "id", "stretch", F.when(F.col("reached") >= min_words, F.col("last")).alias("last"), F.when(F.col("upto") >= min_words, F.col("first")).alias("first")), "active")
     discard(lines, common)
+    release(docs.sparkSession)
     forward = active.where("last is not null").select("key", "doc", F.col("at").alias("s"), (F.col("last") - F.col("at") + 1).alias("n"))
     backward = active.where("first is not null").select("key", "doc", F.col("first").alias("s"), (F.col("at") - F.col("first") + 1).alias("n"))
     runs = forward.union(backward).distinct()
@@ -81,7 +83,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     # Intervals of the suffix array with a longest common prefix of n lines; all suffixes but the first are later copies.
     place = F.struct("doc", "key", "s")
     intervals = cut(runs.groupBy("n", "x", "y").agg(F.min(place).alias("kept"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "intervals")
-    later = runs.join(small(intervals), ["n", "x", "y"]).where(place > F.col("kept"))
+    later = runs.join(intervals.hint("merge"), ["n", "x", "y"]).where(place > F.col("kept"))
     return later.select("key", F.explode(F.sequence(F.col("s"), (F.col("s") + F.col("n") - 1).cast("int"))).alias("at")).distinct()
 
 
@@ -89,7 +91,7 @@ def deduplicated(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """The documents with later copies deleted, and _lines, _deleted: how many lines there were and how many went."""
     gone = cut(repeated_lines(docs, min_words).groupBy("key").agg(F.collect_set("at").alias("gone")), "deleted")
     key, split = "__line_dedup_key", F.split("text", "\n", -1)
-    both = docs.withColumn(key, _key(docs)).join(gone.select(F.col("key").alias(key), F.col("gone").alias("__gone")), key, "left")
+    both = docs.withColumn(key, _key(docs)).join(gone.select(F.col("key").alias(key), F.col("gone").alias("__gone")).hint("merge"), key, "left")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).when(F.size("__gone") == F.size(split), F.lit("")).otherwise(kept)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
