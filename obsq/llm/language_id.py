@@ -2,7 +2,7 @@
 
 Every letter has a random vector of +1 and -1, drawn from its code point. A trigram of letters and word ends is bound
 as the product of the three vectors, the first rotated twice and the second once. A text's vector bundles (sums) those
-of all its trigrams; a language's prototype bundles its labelled texts. A text gets the language whose prototype has
+of all its trigrams; a language's prototype bundles its labelled texts, each with the same weight however long it is. A text gets the language whose prototype has
 the greatest cosine with it, once what all prototypes share has been taken from both. Vectors are sums of integers, so
 prototypes don't depend on the order or the split of the data.
 
@@ -18,11 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsq.llm.common import U64, fit_columns, mix, ship, text_slices
 
 SPACE = 32
 FOLDS = 5
+PRED, SCORE = "_language_pred", "_language_score"
+#: What a text adds to its language's prototype in all, in whole numbers, and the trigrams from which on it adds that much.
+WHOLE, SHORT = 1 << 20, 100
 
 
 class Profiles:
@@ -73,8 +77,8 @@ class Profiles:
         code = np.where(letter, points, SPACE).astype(np.int64)[keep]
         row = row[keep]
         has = np.flatnonzero(np.bincount(row[code != SPACE], minlength=len(offsets) - 1))
-        at = np.searchsorted(row, has)
-        code, row = np.insert(code, at, SPACE), np.insert(row, at, has)
+        at = np.concatenate((np.searchsorted(row, has, "right"), np.searchsorted(row, has)))  # an end before the next start
+        code, row = np.insert(code, at, SPACE), np.insert(row, at, np.concatenate((has, has)))
         key = code[:-2] << 42 | code[1:-1] << 21 | code[2:]
         inside = (row[:-2] == row[2:]) & (code[1:-1] != SPACE)
         key, row = key[inside], row[1:-1][inside]
@@ -108,8 +112,9 @@ def learn(docs: DataFrame, dimensions: int = 1024) -> dict[str, np.ndarray]:
                 row, tri = p.trigrams(data, offsets)
                 of = code[first : first + len(offsets) - 1][row]
                 n = len(p.vectors)
+                share = np.rint(WHOLE / np.maximum(np.bincount(row, minlength=len(offsets) - 1), SHORT))[row]
                 for k in np.unique(of).tolist():
-                    c = np.bincount(tri[of == k], minlength=n)
+                    c = np.bincount(tri[of == k], weights=share[of == k], minlength=n)
                     old = counts.get(names[k])
                     if old is not None:
                         c[: len(old)] += old
@@ -128,7 +133,7 @@ def learn(docs: DataFrame, dimensions: int = 1024) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = 1024, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred and score of every row."""
+    """The carried columns, and the predicted language and its score (PRED, SCORE) of every row."""
     ship(docs.sparkSession)
     names = sorted(prototypes)
     unit = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in names]).reshape(len(names), dimensions)
@@ -136,7 +141,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
     shared = shared / max(np.linalg.norm(shared), 1e-9)
     own = unit - np.outer(unit @ shared, shared)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), "lang_pred string", "score double"])
+    schema = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in carry)).schema, T.StructField(PRED, T.StringType()), T.StructField(SCORE, T.DoubleType())])
 
     def run(batches):
         p = Profiles.open(dimensions)
@@ -156,21 +161,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
                     best[k] = int(np.argmax(cosine))
                     score[k] = min(1.0, max(0.0, float(v @ unit[best[k]])))
                 pred = pa.array([names[k] if k >= 0 else "und" for k in best.tolist()])
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, rows) for i in range(len(carry))), pred, pa.array(score)], names=[*carry, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, rows) for i in range(len(carry))), pred, pa.array(score)], names=[*carry, PRED, SCORE])
 
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def op7_language_id(docs: DataFrame, dimensions: int = 1024) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     docs = fit_columns(docs, "doc_id", "text", "lang")
     out = predict(docs, learn(docs, dimensions), dimensions)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col(PRED).alias("lang_pred"), F.col(SCORE).alias("score"))
 
 
 def identified(docs: DataFrame, least: float = 0.0, dimensions: int = 1024) -> DataFrame:
     """The documents that get a language, with a score of at least `least`; columns as they were."""
-    scored = predict(docs, learn(docs, dimensions), dimensions, carry=tuple(docs.columns)) if docs.columns.count("text") == 1 else None
-    if scored is None:
-        raise ValueError("one column named text is needed")
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    kept = predict(docs, learn(docs, dimensions), dimensions, carry=tuple(docs.columns))
+    return kept.where((F.col(PRED) != "und") & (F.col(SCORE) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsq.llm import decontaminate, line_dedup, ngram_join, packing, token_output
+from obsq.llm import decontaminate, gif, language_id, line_dedup, ngram_join, packing, pii, token_counts, token_output, warc
 from obsq.llm.common import table
 
 
@@ -33,12 +33,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(table(spark, sf_dir, "documents"), 10)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op5_warc(table(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6_pii(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op7_language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op8_token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9_packing(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.op10_gif(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_token_output": op2_token_output, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op9_packing": op9_packing}
+    every = (op1_decontaminate, op2_token_output, op3_ngram_join, op4_line_dedup, op5_warc, op6_pii, op7_language_id, op8_token_counts, op9_packing, op10_gif)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
