@@ -108,23 +108,23 @@ ORACLE = """
 WITH l AS (
     SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
 ), e AS (
-    SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS at FROM l
+    SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM l
 ), w AS (
-    SELECT doc_id, lines, at, CASE WHEN trim(lines[at], ' ') = '' THEN 0 ELSE length(lines[at]) - length(replace(lines[at], ' ', '')) + 1 END AS words FROM e
+    SELECT doc_id, lines, pos, CASE WHEN trim(lines[pos], ' ') = '' THEN 0 ELSE length(lines[pos]) - length(replace(lines[pos], ' ', '')) + 1 END AS words FROM e
 ), p AS (
-    SELECT doc_id, lines, at, words, sum(words) OVER (PARTITION BY doc_id ORDER BY at) AS upto FROM w
+    SELECT doc_id, lines, pos, words, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w
 ), r AS (
-    SELECT a.doc_id, a.at AS s, min(b.at) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.at >= a.at AND b.upto - a.upto + a.words >= {words} GROUP BY ALL
+    SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= {words} GROUP BY ALL
     UNION
-    SELECT b.doc_id, max(a.at) AS s, b.at AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.at >= a.at AND b.upto - a.upto + a.words >= {words} GROUP BY b.doc_id, b.at
+    SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= {words} GROUP BY b.doc_id, b.pos
 ), c AS (
     SELECT r.doc_id, s, e, list_slice(l.lines, s, e) AS run FROM r JOIN l ON r.doc_id = l.doc_id
 ), f AS (
     SELECT doc_id, s, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM c
 ), g AS (
-    SELECT doc_id, list(DISTINCT at) AS gone FROM (SELECT doc_id, unnest(range(s, e + 1)) AS at FROM f WHERE k > 1) GROUP BY doc_id
+    SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(s, e + 1)) AS pos FROM f WHERE k > 1) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(len(l.lines), 0)::BIGINT AS n_lines, coalesce(len(g.gone), 0)::BIGINT AS n_deleted,
-       CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(list_transform(range(1, len(l.lines) + 1), i -> CASE WHEN list_contains(g.gone, i) THEN NULL ELSE l.lines[i] END), x -> x IS NOT NULL), chr(10)), '') END AS text
+       CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(list_transform(range(1, len(l.lines) + 1), lambda i: CASE WHEN list_contains(g.gone, i) THEN NULL ELSE l.lines[i] END), lambda x: x IS NOT NULL), chr(10)), '') END AS text
 FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN g ON d.doc_id = g.doc_id
 """
