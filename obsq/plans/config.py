@@ -70,16 +70,18 @@ def load(text: str, merge_duplicates: bool = False):
         pass
 
     def mapping(loader, node, deep=False):
-        loader.flatten_mapping(node)
-        merged = sum(k.tag == "tag:yaml.org,2002:merge" for k, _ in node.value)
+        loader.flatten_mapping(node)  # what is merged in comes first, and gives way to the mapping's own keys
         out: dict = {}
+        own: set = set()
         for k, v in node.value:
             key, value = loader.construct_object(k, deep=True), loader.construct_object(v, deep=True)
-            if key in out and not merged and k.start_mark.index >= node.start_mark.index:
-                if not merge_duplicates:
-                    raise ValueError(f"line {k.start_mark.line + 1}: key {key!r} is there twice")
-                if isinstance(value, list) and isinstance(out[key], list):
-                    value = out[key] + value
+            if node.start_mark.index <= k.start_mark.index < node.end_mark.index:
+                if key in own:
+                    if not merge_duplicates:
+                        raise ValueError(f"line {k.start_mark.line + 1}: key {key!r} is there twice")
+                    if isinstance(value, list) and isinstance(out[key], list):
+                        value = out[key] + value
+                own.add(key)
             out[key] = value
         return out
 
