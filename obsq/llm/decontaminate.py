@@ -43,6 +43,11 @@ def words(column: pa.Array):
         yield first, len(offsets) - 1, row, _ROLL.spans(_ROLL.prefix(data), start, end)
 
 
+def short(word: np.ndarray) -> np.ndarray:
+    """The upper half of each hash: enough to compare words that are aligned, of which a leak needs several."""
+    return (signed(word) >> 32).astype(np.int32)
+
+
 def seeds(row: np.ndarray, word: np.ndarray, masks: tuple[str, ...] = MASKS):
     """(mask, places, hashes) of all windows that lie in one row."""
     for m, mask in enumerate(masks):
@@ -145,18 +150,18 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
                     [
                         b.column(0).slice(first, rows).take(pa.array(own)),
                         pa.array(lo - edge[own]),
-                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(signed(word[take]))),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(short(word[take]))),
                         pa.ListArray.from_arrays(pa.array(hits), pa.array(signed(h))),
                         pa.ListArray.from_arrays(pa.array(hits), pa.array((at - lo[which]).astype(np.int32))),
                     ],
                     names=["doc_id", "first", "words", "seeds", "places"],
                 )
 
-    near = fit_columns(docs, "doc_id", "text").mapInArrow(windows, "doc_id long, first long, words array<long>, seeds array<long>, places array<int>")
+    near = fit_columns(docs, "doc_id", "text").mapInArrow(windows, "doc_id long, first long, words array<int>, seeds array<long>, places array<int>")
     near = cut(near.withColumn("window", F.expr("uuid()")), "windows")
     hits = near.select("window", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("window", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
     met = hits.join(small(known), "seed").select("window", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    both = met.join(near.select("window", "doc_id", "first", "words"), "window").join(small(items.select("item", "item_id", F.col("words").alias("item_words"))), "item")
+    both = met.join(near.select("window", "doc_id", "first", "words"), "window").join(small(items.select("item", "item_id", F.transform("words", lambda x: F.shiftright(x, 32).cast("int")).alias("item_words"))), "item")
 
     def verify(batches):
         for b in batches:
