@@ -322,3 +322,28 @@ class JaccardJoin:
 
 def op3_ngram_join(docs: DataFrame) -> DataFrame:
     return JaccardJoin(docs).link().select("doc_id", "n_shingles", "component_id")
+
+
+#: The same in SQL: all pairs that share a shingle, and reachability over links.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS g FROM t
+), n AS (
+    SELECT doc_id, len(g) AS n FROM s
+), e AS (
+    SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(g) AS x FROM s)
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)
+), edges AS (
+    SELECT a, b FROM l UNION SELECT b, a FROM l
+), r(a, b) AS (
+    SELECT a, b FROM edges UNION SELECT r.a, edges.b FROM r JOIN edges ON r.b = edges.a
+), c AS (
+    SELECT a, min(b) AS m FROM r GROUP BY a
+)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(c.m, n.doc_id)) AS component_id FROM n LEFT JOIN c ON c.a = n.doc_id
+"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE.format(words=10)}
+    return {"op3_ngram_join": ngram_join.ORACLE, "op4_line_dedup": line_dedup.ORACLE.format(words=10), "op5_warc": warc.ORACLE}

@@ -210,3 +210,18 @@ def op5_warc(pages: DataFrame) -> DataFrame:
 def archive_bytes(rows) -> io.BytesIO:
     """An archive in memory of (page_id, url, payload, refers_to), for small uses."""
     return io.BytesIO(b"".join(member(record(i, u, p, digest(p), r)) for i, u, p, r in rows))
+
+
+#: The same in SQL, by way of the digest's bits.
+ORACLE = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+    SELECT *, unhex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS least FROM p
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * i + 1, 1)::INTEGER + 8 * substr(bits, 5 * i + 2, 1)::INTEGER
+           + 4 * substr(bits, 5 * i + 3, 1)::INTEGER + 2 * substr(bits, 5 * i + 4, 1)::INTEGER + substr(bits, 5 * i + 5, 1)::INTEGER)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM d
+"""
