@@ -297,37 +297,51 @@ def neighbour_spacing(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", r6(F.lag("l_quantity").over(w) - C("l_quantity")).alias("above"), r6(C("l_quantity") - F.lead("l_quantity").over(w)).alias("below"))
 
 
-def simple(name: str, tab: str, cols: dict, sql: str) -> None:
+def simple(name: str, tab: str, cols: Callable[[], dict], sql: str) -> None:
     """A query that is one projection of a table."""
-    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/{tab}.parquet").select(*(c.alias(n) for n, c in cols.items()))
+    QUERIES[name] = lambda spark, d: spark.read.parquet(f"{d}/{tab}.parquet").select(*(c.alias(n) for n, c in cols().items()))
     SQL[name] = sql
 
 
-_loc, LOC = C("l_orderkey") * 8 + C("l_linenumber"), "l_orderkey * 8 + l_linenumber AS loc"
-_q, _x = C("l_quantity"), C("l_extendedprice")
-simple("wind_components", "lineitem", {"loc": _loc, "u": F.round(scalars.wind_u(_q, _x).cast("double"), 2), "v": F.round(scalars.wind_v(_q, _x).cast("double"), 2)}, f"SELECT {LOC}, round((-l_quantity * sin(radians(l_extendedprice)))::FLOAT::DOUBLE, 2) AS u, round((-l_quantity * cos(radians(l_extendedprice)))::FLOAT::DOUBLE, 2) AS v FROM lineitem")
-simple("velocity", "lineitem", {"loc": _loc, "speed": r6(named.resolve({"name": "ObsFunction/Velocity", "options": {"eastward": "l_quantity", "northward": "l_linenumber"}}))}, f"SELECT {LOC}, round(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber), 6) AS speed FROM lineitem")
+LOC = "l_orderkey * 8 + l_linenumber AS loc"
+
+
+# Columns can only be made in a session, so what a module holds are functions that make them.
+def loc():
+    return C("l_orderkey") * 8 + C("l_linenumber")
+
+
+def qty():
+    return C("l_quantity")
+
+
+def price():
+    return C("l_extendedprice")
+
+
+simple("wind_components", "lineitem", lambda: {"loc": loc(), "u": F.round(scalars.wind_u(qty(), price()).cast("double"), 2), "v": F.round(scalars.wind_v(qty(), price()).cast("double"), 2)}, f"SELECT {LOC}, round((-l_quantity * sin(radians(l_extendedprice)))::FLOAT::DOUBLE, 2) AS u, round((-l_quantity * cos(radians(l_extendedprice)))::FLOAT::DOUBLE, 2) AS v FROM lineitem")
+simple("velocity", "lineitem", lambda: {"loc": loc(), "speed": r6(named.resolve({"name": "ObsFunction/Velocity", "options": {"eastward": "l_quantity", "northward": "l_linenumber"}}))}, f"SELECT {LOC}, round(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber), 6) AS speed FROM lineitem")
 _dir = "(degrees(atan2(-{a}, -{b})) + 360.0) % 360.0"
 simple(
     "angle_difference", "lineitem",
-    {"loc": _loc, "angle": F.round(named.resolve({"name": "ObsFunction/WindDirAngleDiff", "options": {"u": "l_quantity", "v": "l_linenumber", "hofx_u": "l_suppkey", "hofx_v": "l_tax"}}), 4)},
+    lambda: {"loc": loc(), "angle": F.round(named.resolve({"name": "ObsFunction/WindDirAngleDiff", "options": {"u": "l_quantity", "v": "l_linenumber", "hofx_u": "l_suppkey", "hofx_v": "l_tax"}}), 4)},
     f"SELECT {LOC}, round(CASE WHEN least(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber), sqrt(l_suppkey * l_suppkey + l_tax * l_tax)) < 0.0001 THEN 0 ELSE least(d, 360 - d) END, 4) AS angle FROM (SELECT *, abs({_dir.format(a='l_quantity', b='l_linenumber')} - {_dir.format(a='l_suppkey', b='l_tax')}) AS d FROM lineitem)",
 )
-simple("err_norm", "lineitem", {"loc": _loc, "ratio": r6(named.resolve({"name": "ObsFunction/SatWindsErrnormCheck", "options": {"u": "l_discount", "v": "l_tax", "expected error": "l_quantity"}}))}, f"SELECT {LOC}, round(CASE WHEN sqrt(l_discount * l_discount + l_tax * l_tax) < 0.1 THEN 100.0 ELSE (10.0 - 0.1 * l_quantity) / sqrt(l_discount * l_discount + l_tax * l_tax) END, 6) AS ratio FROM lineitem")
-simple("scan_position", "lineitem", {"loc": _loc, "position": scalars.scan_position(_x / 4)}, f"SELECT {LOC}, (CASE WHEN (l_extendedprice / 4) % 1 > 0.5 THEN ceil(l_extendedprice / 4) ELSE floor(l_extendedprice / 4) END + 1)::INTEGER AS position FROM lineitem")
-simple("half_even_round", "lineitem", {"loc": _loc, "rounded": scalars.round_half_even(_q / 2)}, f"SELECT {LOC}, round_even(l_quantity / 2, 0) AS rounded FROM lineitem")
-simple("longitude_wrap", "customer", {"c_custkey": C("c_custkey"), "east": r6(scalars.longitude_360(C("c_acctbal"))), "signed": r6(scalars.longitude_180(C("c_acctbal")))}, "SELECT c_custkey, round(((c_acctbal % 360) + 360) % 360, 6) AS east, round(CASE WHEN c_acctbal > 180 THEN c_acctbal - 360 ELSE c_acctbal END, 6) AS signed FROM customer")
-simple("type_code", "events", {"event_id": C("event_id"), "code": scalars.type_code(C("user_id"), F.when(C("event_type") == "view", "windEastward").otherwise(C("event_type")))}, "SELECT event_id, CASE WHEN user_id < 100 THEN user_id + CASE WHEN event_type = 'view' THEN 200 ELSE 100 END ELSE user_id END AS code FROM events")
-simple("mask_large", "lineitem", {"loc": _loc, "masked": scalars.mask_large(_x, 20000.0)}, f"SELECT {LOC}, CASE WHEN l_extendedprice <= 20000 THEN l_extendedprice END AS masked FROM lineitem")
-simple("magnitude_bounds", "customer", {"c_custkey": C("c_custkey"), "low": r6(scalars.magnitude_floor(C("c_acctbal"))), "high": r6(scalars.magnitude_ceil(C("c_acctbal")))}, "SELECT c_custkey, round(CASE WHEN v = 0 THEN 0.0 ELSE floor(v / m) * m END, 6) AS low, round(CASE WHEN v = 0 THEN 0.0 ELSE ceil(v / m) * m END, 6) AS high FROM (SELECT c_custkey, c_acctbal AS v, CASE WHEN c_acctbal = 0 THEN NULL ELSE pow(10.0, floor(log10(abs(nullif(c_acctbal, 0))))) END AS m FROM customer)")
-simple("theta_to_t", "lineitem", {"loc": _loc, "t": r6(scalars.temperature(F.lit(300.0) + _q, F.lit(100.0) + _q * 10))}, f"SELECT {LOC}, round((300.0 + l_quantity) / pow(1000.0 / (100.0 + l_quantity * 10), 0.286), 6) AS t FROM lineitem")
-simple("unit_conversions", "lineitem", {"loc": _loc, "pa": r6(scalars.hpa_to_pa(_q)), "k": r6(scalars.celsius_to_kelvin(_q)), "cloud": r6(scalars.cloud_amount(_q)), "range_m": r6(scalars.gate_range(_q)), "rad": r6(F.radians(_q))}, f"SELECT {LOC}, round(l_quantity * 100.0, 6) AS pa, round(l_quantity + 273.15, 6) AS k, round(100.0 - l_quantity, 6) AS cloud, round(l_quantity * 125.0, 6) AS range_m, round(radians(l_quantity), 6) AS rad FROM lineitem")
-simple("departures", "lineitem", {"loc": _loc, "hofx": r6(scalars.simulated(_x, _q)), "percent": r6(scalars.percent_difference(_x, _q - 10))}, f"SELECT {LOC}, round(-l_quantity + l_extendedprice, 6) AS hofx, round(CASE WHEN l_quantity = 10 THEN NULL ELSE 100.0 * (l_extendedprice - (l_quantity - 10)) / nullif(l_quantity - 10, 0) END, 6) AS percent FROM lineitem")
-simple("masked_type", "events", {"event_id": C("event_id"), "kind": scalars.type_where_valid(F.when(C("value") > 50, C("value")), C("user_id"))}, "SELECT event_id, CASE WHEN value > 50 THEN user_id END AS kind FROM events")
-simple("time_decode", "events", {"event_id": C("event_id"), "epoch": scalars.date_time(C("value") - 100, 1704067200)}, "SELECT event_id, trunc(value - 100)::BIGINT + 1704067200 AS epoch FROM events")
-simple("cycle_strings", "orders", {"o_orderkey": C("o_orderkey"), "day": F.substring(F.date_format("o_orderdate", "yyyyMMddHH"), 1, 8), "hour": F.substring(F.date_format("o_orderdate", "yyyyMMddHH"), 9, 2), "part": scalars.file_cycle(F.concat(F.lit("obs."), F.date_format("o_orderdate", "yyyyMMddHH"), F.lit(".nc4")))}, "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(o_orderdate, '%H') AS hour, strftime(o_orderdate, '%Y%m%d%H') AS part FROM orders")
-simple("channel_slice", "embeddings", {"vec_id": C("vec_id"), "total": F.round(F.aggregate(scalars.channel_slice(C("embedding"), 7, 16), F.lit(0.0), lambda a, x: a + x.cast("double")), 4)}, "SELECT vec_id, round(list_sum(list_transform(list_slice(embedding, 7, 16), lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
-simple("symmetric_match", "lineitem", {"loc": _loc, "mean": r6(named.resolve({"name": "ObsFunction/CLWRetSymmetricMW", "options": {"observed": "l_discount", "simulated": "l_tax"}})), "same": named.resolve({"name": "ObsFunction/CLWMatchIndexMW", "options": {"observed": "l_discount", "simulated": "l_tax", "clwret_clearsky": [0.05]}})[0]}, f"SELECT {LOC}, round(0.5 * (l_discount + l_tax), 6) AS mean, CASE WHEN (l_discount > 0.05) = (l_tax > 0.05) THEN 1.0 ELSE 0.0 END AS same FROM lineitem")
+simple("err_norm", "lineitem", lambda: {"loc": loc(), "ratio": r6(named.resolve({"name": "ObsFunction/SatWindsErrnormCheck", "options": {"u": "l_discount", "v": "l_tax", "expected error": "l_quantity"}}))}, f"SELECT {LOC}, round(CASE WHEN sqrt(l_discount * l_discount + l_tax * l_tax) < 0.1 THEN 100.0 ELSE (10.0 - 0.1 * l_quantity) / sqrt(l_discount * l_discount + l_tax * l_tax) END, 6) AS ratio FROM lineitem")
+simple("scan_position", "lineitem", lambda: {"loc": loc(), "position": scalars.scan_position(price() / 4)}, f"SELECT {LOC}, (CASE WHEN (l_extendedprice / 4) % 1 > 0.5 THEN ceil(l_extendedprice / 4) ELSE floor(l_extendedprice / 4) END + 1)::INTEGER AS position FROM lineitem")
+simple("half_even_round", "lineitem", lambda: {"loc": loc(), "rounded": scalars.round_half_even(qty() / 2)}, f"SELECT {LOC}, round_even(l_quantity / 2, 0) AS rounded FROM lineitem")
+simple("longitude_wrap", "customer", lambda: {"c_custkey": C("c_custkey"), "east": r6(scalars.longitude_360(C("c_acctbal"))), "signed": r6(scalars.longitude_180(C("c_acctbal")))}, "SELECT c_custkey, round(((c_acctbal % 360) + 360) % 360, 6) AS east, round(CASE WHEN c_acctbal > 180 THEN c_acctbal - 360 ELSE c_acctbal END, 6) AS signed FROM customer")
+simple("type_code", "events", lambda: {"event_id": C("event_id"), "code": scalars.type_code(C("user_id"), F.when(C("event_type") == "view", "windEastward").otherwise(C("event_type")))}, "SELECT event_id, CASE WHEN user_id < 100 THEN user_id + CASE WHEN event_type = 'view' THEN 200 ELSE 100 END ELSE user_id END AS code FROM events")
+simple("mask_large", "lineitem", lambda: {"loc": loc(), "masked": scalars.mask_large(price(), 20000.0)}, f"SELECT {LOC}, CASE WHEN l_extendedprice <= 20000 THEN l_extendedprice END AS masked FROM lineitem")
+simple("magnitude_bounds", "customer", lambda: {"c_custkey": C("c_custkey"), "low": r6(scalars.magnitude_floor(C("c_acctbal"))), "high": r6(scalars.magnitude_ceil(C("c_acctbal")))}, "SELECT c_custkey, round(CASE WHEN v = 0 THEN 0.0 ELSE floor(v / m) * m END, 6) AS low, round(CASE WHEN v = 0 THEN 0.0 ELSE ceil(v / m) * m END, 6) AS high FROM (SELECT c_custkey, c_acctbal AS v, CASE WHEN c_acctbal = 0 THEN NULL ELSE pow(10.0, floor(log10(abs(nullif(c_acctbal, 0))))) END AS m FROM customer)")
+simple("theta_to_t", "lineitem", lambda: {"loc": loc(), "t": r6(scalars.temperature(F.lit(300.0) + qty(), F.lit(100.0) + qty() * 10))}, f"SELECT {LOC}, round((300.0 + l_quantity) / pow(1000.0 / (100.0 + l_quantity * 10), 0.286), 6) AS t FROM lineitem")
+simple("unit_conversions", "lineitem", lambda: {"loc": loc(), "pa": r6(scalars.hpa_to_pa(qty())), "k": r6(scalars.celsius_to_kelvin(qty())), "cloud": r6(scalars.cloud_amount(qty())), "range_m": r6(scalars.gate_range(qty())), "rad": r6(F.radians(qty()))}, f"SELECT {LOC}, round(l_quantity * 100.0, 6) AS pa, round(l_quantity + 273.15, 6) AS k, round(100.0 - l_quantity, 6) AS cloud, round(l_quantity * 125.0, 6) AS range_m, round(radians(l_quantity), 6) AS rad FROM lineitem")
+simple("departures", "lineitem", lambda: {"loc": loc(), "hofx": r6(scalars.simulated(price(), qty())), "percent": r6(scalars.percent_difference(price(), qty() - 10))}, f"SELECT {LOC}, round(-l_quantity + l_extendedprice, 6) AS hofx, round(CASE WHEN l_quantity = 10 THEN NULL ELSE 100.0 * (l_extendedprice - (l_quantity - 10)) / nullif(l_quantity - 10, 0) END, 6) AS percent FROM lineitem")
+simple("masked_type", "events", lambda: {"event_id": C("event_id"), "kind": scalars.type_where_valid(F.when(C("value") > 50, C("value")), C("user_id"))}, "SELECT event_id, CASE WHEN value > 50 THEN user_id END AS kind FROM events")
+simple("time_decode", "events", lambda: {"event_id": C("event_id"), "epoch": scalars.date_time(C("value") - 100, 1704067200)}, "SELECT event_id, trunc(value - 100)::BIGINT + 1704067200 AS epoch FROM events")
+simple("cycle_strings", "orders", lambda: {"o_orderkey": C("o_orderkey"), "day": F.substring(F.date_format("o_orderdate", "yyyyMMddHH"), 1, 8), "hour": F.substring(F.date_format("o_orderdate", "yyyyMMddHH"), 9, 2), "part": scalars.file_cycle(F.concat(F.lit("obs."), F.date_format("o_orderdate", "yyyyMMddHH"), F.lit(".nc4")))}, "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(o_orderdate, '%H') AS hour, strftime(o_orderdate, '%Y%m%d%H') AS part FROM orders")
+simple("channel_slice", "embeddings", lambda: {"vec_id": C("vec_id"), "total": F.round(F.aggregate(scalars.channel_slice(C("embedding"), 7, 16), F.lit(0.0), lambda a, x: a + x.cast("double")), 4)}, "SELECT vec_id, round(list_sum(list_transform(list_slice(embedding, 7, 16), lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+simple("symmetric_match", "lineitem", lambda: {"loc": loc(), "mean": r6(named.resolve({"name": "ObsFunction/CLWRetSymmetricMW", "options": {"observed": "l_discount", "simulated": "l_tax"}})), "same": named.resolve({"name": "ObsFunction/CLWMatchIndexMW", "options": {"observed": "l_discount", "simulated": "l_tax", "clwret_clearsky": [0.05]}})[0]}, f"SELECT {LOC}, round(0.5 * (l_discount + l_tax), 6) AS mean, CASE WHEN (l_discount > 0.05) = (l_tax > 0.05) THEN 1.0 ELSE 0.0 END AS same FROM lineitem")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 09:00:00' AND ts < TIMESTAMP '2024-01-10 15:00:00'")
@@ -417,7 +431,7 @@ def perturbed(t) -> DataFrame:
     """Quantities of a part as the prior, discounted ones as the posterior."""
     w = W.partitionBy("l_partkey")
     x = t("lineitem").withColumn("a", C("l_quantity") * (1 - C("l_discount")))
-    return x.select(_loc.alias("loc"), (C("l_quantity") - F.avg("l_quantity").over(w)).alias("xb"), (C("a") - F.avg("a").over(w)).alias("xa"), F.stddev_pop("l_quantity").over(w).alias("sb"), F.stddev_pop("a").over(w).alias("sa"))
+    return x.select(loc().alias("loc"), (C("l_quantity") - F.avg("l_quantity").over(w)).alias("xb"), (C("a") - F.avg("a").over(w)).alias("xa"), F.stddev_pop("l_quantity").over(w).alias("sb"), F.stddev_pop("a").over(w).alias("sa"))
 
 
 PERT = f"WITH x AS (SELECT *, l_quantity * (1 - l_discount) AS a FROM lineitem), p AS (SELECT {LOC}, l_quantity - avg(l_quantity) OVER w AS xb, a - avg(a) OVER w AS xa, stddev_pop(l_quantity) OVER w AS sb, stddev_pop(a) OVER w AS sa FROM x WINDOW w AS (PARTITION BY l_partkey))"
@@ -457,7 +471,7 @@ def band_lookup(t):
     x = t("lineitem")
     bands = x.sparkSession.createDataFrame(BANDS, "lo int, hi int, most double")
     j = x.join(F.broadcast(bands), (C("l_quantity") >= C("lo")) & (C("l_quantity") < C("hi")), "left")
-    return j.select(_loc.alias("loc"), "most", F.when(C("l_extendedprice") > C("most"), 19).otherwise(0).alias("qc"))
+    return j.select(loc().alias("loc"), "most", F.when(C("l_extendedprice") > C("most"), 19).otherwise(0).alias("qc"))
 
 
 @query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2")
@@ -514,14 +528,14 @@ def circle_domain(t):
 @query(f"""SELECT loc, round(CASE WHEN z <= 1 THEN -pow(z, 5) / 4 + pow(z, 4) / 2 + pow(z, 3) * 5 / 8 - pow(z, 2) * 5 / 3 + 1
 WHEN z <= 2 THEN pow(z, 5) / 12 - pow(z, 4) / 2 + pow(z, 3) * 5 / 8 + pow(z, 2) * 5 / 3 - 5 * z + 4 - 2 / (3 * nullif(z, 0)) ELSE 0 END, 6) AS weight FROM (SELECT {LOC}, l_quantity / 20.0 AS z FROM lineitem)""")
 def gaspari_cohn(t):
-    return t("lineitem").select(_loc.alias("loc"), r6(geometry.gaspari_cohn(C("l_quantity"), 40.0)).alias("weight"))
+    return t("lineitem").select(loc().alias("loc"), r6(geometry.gaspari_cohn(C("l_quantity"), 40.0)).alias("weight"))
 
 
 @query(f"""SELECT loc, round(CASE WHEN q <= 5 THEN 300 WHEN q <= 20 THEN 300 + (ln(q) - ln(5)) / (ln(20) - ln(5)) * -20 WHEN q <= 45 THEN 280 + (ln(q) - ln(20)) / (ln(45) - ln(20)) * -30 ELSE 250 END, 5) AS h
 FROM (SELECT {LOC}, l_quantity AS q FROM lineitem)""")
 def vert_interp(t):
     levels, values = (F.array(*(F.lit(float(v)) for v in x)) for x in ((45, 20, 5), (250, 280, 300)))
-    return t("lineitem").select(_loc.alias("loc"), F.round(hops.vert_interp(values, levels, C("l_quantity"), "log-linear"), 5).alias("h"))
+    return t("lineitem").select(loc().alias("loc"), F.round(hops.vert_interp(values, levels, C("l_quantity"), "log-linear"), 5).alias("h"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 2.0)) * 0.007886131, 5) AS du FROM embeddings")
@@ -534,7 +548,7 @@ def layer_integral(t):
 def bias_predictors(t):
     p = C("l_linenumber")
     b = hops.bias([F.lit(1.0), C("l_discount"), hops.scan_angle(p, 3.0, -10, 1), hops.scan_angle(p, 3.0, -10, 2)], [1.5, 0.2, 0.1, 0.05])
-    return t("lineitem").select(_loc.alias("loc"), r6(b).alias("bias"))
+    return t("lineitem").select(loc().alias("loc"), r6(b).alias("bias"))
 
 
 def messages(t) -> DataFrame:
