@@ -341,7 +341,7 @@ simple("masked_type", "events", lambda: {"event_id": C("event_id"), "kind": scal
 simple("time_decode", "events", lambda: {"event_id": C("event_id"), "epoch": scalars.date_time(C("value") - 100, 1704067200)}, "SELECT event_id, trunc(value - 100)::BIGINT + 1704067200 AS epoch FROM events")
 simple("cycle_strings", "orders", lambda: {"o_orderkey": C("o_orderkey"), "day": F.substring(F.date_format("o_orderdate", "yyyyMMddHH"), 1, 8), "hour": F.substring(F.date_format("o_orderdate", "yyyyMMddHH"), 9, 2), "part": scalars.file_cycle(F.concat(F.lit("obs."), F.date_format("o_orderdate", "yyyyMMddHH"), F.lit(".nc4")))}, "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(o_orderdate, '%H') AS hour, strftime(o_orderdate, '%Y%m%d%H') AS part FROM orders")
 simple("channel_slice", "embeddings", lambda: {"vec_id": C("vec_id"), "total": F.round(F.aggregate(scalars.channel_slice(C("embedding"), 7, 16), F.lit(0.0), lambda a, x: a + x.cast("double")), 4)}, "SELECT vec_id, round(list_sum(list_transform(list_slice(embedding, 7, 16), lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
-simple("symmetric_match", "lineitem", lambda: {"loc": loc(), "mean": r6(named.resolve({"name": "ObsFunction/CLWRetSymmetricMW", "options": {"observed": "l_discount", "simulated": "l_tax"}})), "same": named.resolve({"name": "ObsFunction/CLWMatchIndexMW", "options": {"observed": "l_discount", "simulated": "l_tax", "clwret_clearsky": [0.05]}})[0]}, f"SELECT {LOC}, round(0.5 * (l_discount + l_tax), 6) AS mean, CASE WHEN (l_discount > 0.05) = (l_tax > 0.05) THEN 1.0 ELSE 0.0 END AS same FROM lineitem")
+simple("symmetric_match", "lineitem", lambda: {"loc": loc(), "mean": r6(named.resolve({"name": "ObsFunction/CLWRetSymmetricMW", "options": {"observed": "l_discount", "simulated": "l_tax"}})), "same": named.resolve({"name": "ObsFunction/CLWMatchIndexMW", "options": {"observed": "l_discount", "simulated": "l_tax", "clwret_clearsky": [0.05]}})[0]}, f"SELECT {LOC}, round(0.5 * (l_discount + l_tax), 6) AS mean, CASE WHEN (l_discount > 0.05) = (l_tax > 0.05) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS same FROM lineitem")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 09:00:00' AND ts < TIMESTAMP '2024-01-10 15:00:00'")
