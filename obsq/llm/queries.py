@@ -46,7 +46,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.op8_token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.op8_token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), None)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A word's pieces are those of greedy longest match: the longest vocabulary entry at its start, then, of the entries that
 may go on within a word, the longest at each place that follows. A trie of both kinds of entries gets, for each node, a
 failure link and the number of pieces that are popped when matching can't go on there, so one pass over a word's letters
-counts its pieces; none is built. A word that can't be matched whole, or is too long, counts as one unknown token.
+counts its pieces; none is built. A word that can't be matched whole counts as one unknown token, and so does one of more
+than `longest` letters where that is given; the query sets no such bound.
 
 Words stand between white space. Equal words of a batch are counted once, and a worker keeps the counts of words that it
 has seen, up to a bound.
@@ -92,7 +93,7 @@ def sentence_pieces(path: str) -> LongestMatch:
 class _Counts:
     """Counts of the words that this worker has seen, by their hash."""
 
-    def __init__(self, path: str, longest: int, most: int = 2_000_000) -> None:
+    def __init__(self, path: str, longest: int | None, most: int = 2_000_000) -> None:
         self.machine, self.longest, self.most, self.roller = sentence_pieces(path), longest, most, Roller()
         self.keys, self.values = np.zeros(0, U64), np.zeros(0, np.int32)
         self.new: dict[int, int] = {}
@@ -116,7 +117,7 @@ class _Counts:
             key = int(distinct[k])
             if (v := self.new.get(key)) is None:
                 word = raw[start[at[k]] : end[at[k]]].decode()
-                v = self.new[key] = self.machine.count(word) if len(word) <= self.longest else 0
+                v = self.new[key] = self.machine.count(word) if self.longest is None or len(word) <= self.longest else 0
             n[k] = v
         if len(self.new) > max(50_000, len(self.keys) // 4):
             keys = np.concatenate((self.keys, np.fromiter(self.new, U64, len(self.new))))
@@ -129,11 +130,11 @@ class _Counts:
         return words, np.bincount(row, weights=np.maximum(each, 1), minlength=rows).astype(np.int64), np.bincount(row[each == 0], minlength=rows)
 
 
-_OPEN: dict[tuple[str, int], _Counts] = {}
+_OPEN: dict[tuple[str, int | None], _Counts] = {}
 
 
-def token_counts(docs: DataFrame, vocabulary: str, longest: int = 200) -> DataFrame:
-    """doc_id, n_words, n_tokens, n_unknown of every row. longest: letters of a word that is looked at."""
+def token_counts(docs: DataFrame, vocabulary: str, longest: int | None = 200) -> DataFrame:
+    """doc_id, n_words, n_tokens, n_unknown of every row. longest: letters of a word that is looked at; None: any number."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -146,5 +147,5 @@ def token_counts(docs: DataFrame, vocabulary: str, longest: int = 200) -> DataFr
     return fit_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
 
 
-def op8_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    return token_counts(docs, vocabulary)
+def op8_token_counts(docs: DataFrame, vocabulary: str, longest: int | None = 200) -> DataFrame:
+    return token_counts(docs, vocabulary, longest)
