@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, packing.
 
 Each stage takes all rows that its predecessor kept, and its decisions take effect: documents without a language go;
-later copies of repeated line runs are cut out of the texts, and documents of which nothing is left go; of each group of
+later copies of repeated line runs, of one word or more, are cut out of the texts, and documents of which nothing is left go; of each group of
 near-duplicates the document with the smallest id stays; documents with a benchmark item in them go; the rest is packed.
 All stages but the last return the columns of documents, with n_chars as the length of the text as it now is.
 """
@@ -22,7 +22,8 @@ from obsq.llm.queries import tokenizer_file
 
 #: Near-duplicates share four fifths of their shingles of five words.
 SHINGLE, NUM, DEN = 5, 80, 100
-MIN_WORDS = 10
+#: Every repeated line that isn't blank counts.
+MIN_WORDS = 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,10 @@ def test_stages_take_effect(spark, tmp_path):
 
     assert {r.doc_id: r.doc_tokens for r in out} == {d: len(encode(t)) for d, t in kept}
     assert sorted(r.sequence_id for r in out) == list(range(len(out)))
+
+
+def test_later_copies_of_short_lines_go(spark):
+    texts = {1: "All rights reserved\nfirst\n", 2: "second\nAll rights reserved\n", 3: "All rights reserved", 4: "\n\nfourth"}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], COLUMNS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: (texts[1], len(texts[1])), 2: ("second\n", 7), 4: (texts[4], len(texts[4]))}
