@@ -146,10 +146,12 @@ def _sign(c: str):
 
 
 def _dotted(m: Mapped) -> None:
-    """Bare signs are rewritten only where an address comes of it: word at word dot word."""
+    """Bare signs are rewritten only where an address comes of it: word at word dot word, with a dot that was disguised."""
     def made(x: re.Match):
         if x[2].strip().lower() == "at" and " dot " not in x[3].lower():
-            return None
+            # A dot made of several letters was in brackets or between underscores.
+            if not any(c == "." and m.end[k] - m.start[k] > 1 for k, c in enumerate(x[3], x.start(3))):
+                return None
         out = [(c, x.start(1) + k, x.start(1) + k + 1) for k, c in enumerate(x[1])]
         out.append(("@", x.start(2), x.end(2)))
         at = x.start(3)
@@ -174,8 +176,7 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     m.rewrite(_SPELLED, _digits)
     m.rewrite(_PLUS, _sign("+"))
     m.rewrite(_AT, _sign("@"))
-    if "@" in m.text:
-        m.rewrite(_DOT, _sign("."))
+    m.rewrite(_DOT, _sign("."))
     _dotted(m)
     if m.text == text:
         return []

@@ -23,6 +23,15 @@ DISGUISED = [
 ]
 
 
+DOTS = [
+    ("192[.]168[.]1[.]10", "ip"),
+    ("192 [dot] 168 [dot] 1 [dot] 10", "ip"),
+    ("jane at example (dot) com", "email"),
+    ("jane at example [dot] com", "email"),
+    ("jane at mail_dot_example_dot_com", "email"),
+]
+
+
 def brute(text):
     out = []
     for k, p in enumerate((EMAIL, IP, CARD, PHONE)):
@@ -61,3 +70,10 @@ def test_over_a_table(spark):
         order = [(KINDS.index(x.split(":")[0]), int(x.split(":")[1])) for x in r.spans.split(",") if x]
         assert order == sorted(order)
     assert op6_pii(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("part,kind", DOTS)
+@pytest.mark.parametrize("around", ["{}", "x {} y", "n@m.com {}", "{} and n@m.com", "look at example.com, {}"])
+def test_disguised_dots_whatever_else_the_text_holds(part, kind, around):
+    text = around.format(part)
+    assert [(KINDS[k], text[s:e]) for k, s, e in disguised(text, find(text))] == [(kind, part)]
