@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,7 +89,23 @@ _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"[ ]{{0,3}}{_OPEN}[ ]{{0,2}}(?:at|@)[ ]{{0,2}}{_SHUT}[ ]{{0,3}}|[ ]{{1,3}}-at-[ ]{{1,3}}|_at_", re.I)
 _DOT = re.compile(rf"[ ]{{0,3}}{_OPEN}[ ]{{0,2}}(?:dot|\.)[ ]{{0,2}}{_SHUT}[ ]{{0,3}}|(?<=[A-Za-z0-9])_dot_(?=[A-Za-z0-9])", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9._%+-]+)( ?@ ?| at )([A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+)", re.I)
-_SIGNS = re.compile(r"(?i)\bdot\b|_dot_|[\[({<] ?(?:dot|at|@|\.) ?[\])}>]|[ _-]at[ _-]|@ | @|zero|one|two|three|four|five|six|seven|eight|nine")
+#: Found in every text without look-alikes that a pattern above would change.
+_SIGNS = re.compile(
+    r"(?i)\bdot\b|_dot_|[\[({<] {0,2}(?:dot|at|@|\.) {0,2}[\])}>]|[ _-]at[ _-]|@ | @|plus {0,2}[0-9]"
+    r"|zero|one|two|three|four|five|six|seven|eight|nine|oh[ ,.\-]{0,2}(?:[0-9]|oh)|[0-9][ ,.\-]{0,2}oh"
+)
+
+
+@lru_cache(maxsize=1 << 16)
+def _ascii(c: str) -> str:
+    """The ASCII letter that a letter looks like or folds to, nothing for an invisible one, or else the letter itself."""
+    if c in _HIDDEN:
+        return ""
+    if c >= "\x80":
+        c = c.translate(_LOOKS)
+        folded = unicodedata.normalize("NFKC", c) if c >= "\x80" else c
+        c = folded if len(folded) == 1 and folded.isascii() else c
+    return c
 
 
 class Mapped:
@@ -103,12 +120,8 @@ class Mapped:
             return
         out, start, end = [], [], []
         for c, s, e in zip(self.text, self.start, self.end):
-            if c in _HIDDEN:
+            if c >= "\x80" and not (c := _ascii(c)):
                 continue
-            if c >= "\x80":
-                c = c.translate(_LOOKS)
-                folded = unicodedata.normalize("NFKC", c) if c >= "\x80" else c
-                c = folded if len(folded) == 1 and folded.isascii() else c
             out.append(c)
             start.append(s)
             end.append(e)
@@ -168,9 +181,12 @@ def _dotted(m: Mapped) -> None:
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows."""
-    odd = not text.isascii() and any(c in _HIDDEN or 0x370 <= ord(c) <= 0x52F or ord(c) >= 0x2000 for c in text)
-    if not odd and not _SIGNS.search(text):
-        return []
+    odd = not text.isascii() and any(c >= "\x80" and _ascii(c) != c for c in set(text))
+    return rewritten(text, base) if odd or _SIGNS.search(text) else []
+
+
+def rewritten(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The same for any text, by the whole chain."""
     m = Mapped(text)
     m.letters()
     m.rewrite(_SPELLED, _digits)

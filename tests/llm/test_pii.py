@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from obsq.llm.pii import CARD, EMAIL, IP, PHONE, KINDS, disguised, find, luhn, op6_pii
+from obsq.llm.pii import CARD, EMAIL, IP, PHONE, KINDS, disguised, find, luhn, op6_pii, rewritten
 
 SCHEMA = "doc_id long, text string, spans string"
 DISGUISED = [
@@ -32,6 +32,18 @@ DOTS = [
 ]
 
 
+ALONE = [
+    ("plus 44 20 7946 0958", "phone"),
+    ("plus44 20 7946 0958", "phone"),
+    ("4oh00 0000 0000 0002", "card"),
+    ("4 oh oh oh 0000 0000 0002", "card"),
+    ("4111\xa01111\xa01111\xa01111", "card"),
+    ("+44\xa020\xa07946\xa00958", "phone"),
+    ("4111111111111\xb9\xb9\xb9", "card"),
+    ("192[  .  ]168[  .  ]1[  .  ]10", "ip"),
+]
+
+
 def brute(text):
     out = []
     for k, p in enumerate((EMAIL, IP, CARD, PHONE)):
@@ -77,3 +89,19 @@ def test_over_a_table(spark):
 def test_disguised_dots_whatever_else_the_text_holds(part, kind, around):
     text = around.format(part)
     assert [(KINDS[k], text[s:e]) for k, s, e in disguised(text, find(text))] == [(kind, part)]
+
+
+@pytest.mark.parametrize("part,kind", ALONE)
+@pytest.mark.parametrize("around", ["call {}", "call {} now, one \u2019"])
+def test_disguises_without_another_sign(part, kind, around):
+    text = around.format(part)
+    assert [(KINDS[k], text[s:e]) for k, s, e in disguised(text, find(text))] == [(kind, part)]
+
+
+def test_texts_that_are_passed_over_have_nothing_disguised():
+    r = random.Random(3)
+    letters = ["a", "jane", " at ", "at", "-at-", "_at_", "@", " ", "  ", "dot", ".", " dot ", "_dot_", "[", "]", "(", ")", "plus", "+", "oh", "-", "com", "4111", "1", "192", "1111 1111 1111", "44 20 7946 0958", "\xa0", "\xb9", "\xad", "\u2019", "\u0430", "\n"]
+    for _ in range(60000):
+        t = "".join(r.choices(letters, k=r.randint(1, 14)))
+        base = find(t)
+        assert disguised(t, base) == rewritten(t, base), t
