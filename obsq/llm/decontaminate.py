@@ -4,8 +4,9 @@ Texts become lower-case words. A mask says which words of a window count; the ha
 benchmark item, is joined with the same hashes of the documents. As a mask ignores some places, a hit survives words
 that were swapped there, and with several masks hardly any run of mostly equal words gets by without one. Around a hit
 the two texts are compared word by word along its diagonal, and the best stretch is kept: equal words count `MATCH`,
-others `MISMATCH`. A stretch is a leak if it has at least `least` equal words (or the whole of a shorter item), of
-which at most a fifth differ, and covers at least `cover` of the item.
+others `MISMATCH`. Stretches count that have at least `least` equal words (or the whole of a shorter item), and of whose
+words at most a fifth differ. An item leaks into a document if one of them has at least `enough` equal words, however
+long the item is, or if all of them together hold at least `cover` of the item's words.
 
 Benchmark items with equal words are one, named by the smallest item_id. Before the join, hashes of documents pass a
 bit table of the benchmark's hashes, of bounded size; what is left is words around hits. Neither side is broadcast
@@ -18,6 +19,8 @@ rows again; null ids are kept as they are; empty tables give no rows; other colu
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +73,24 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def stretches(same: np.ndarray, least: int):
+    """(start, end, equal words) of stretches that lie apart, have `least` equal words and of which at most a fifth differ."""
+    todo = [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        if same[lo:hi].sum() < least:
+            continue
+        start, end, equal = best_stretch(same[lo:hi])
+        start, end = lo + start, lo + end
+        todo += [(lo, start), (end, hi)]
+        if 5 * (end - start - equal) > end - start:  # its halves may do better
+            other = start + np.flatnonzero(~same[start:end])
+            k = int(other[len(other) // 2])
+            todo += [(start, k), (k + 1, end)]
+        elif equal >= least:
+            yield start, end, equal
+
+
 def _benchmark(bench: DataFrame) -> DataFrame:
     """item (its words' hash), item_id (the smallest with these words), words."""
 
@@ -90,10 +111,10 @@ def _benchmark(bench: DataFrame) -> DataFrame:
     return made.groupBy("item").agg(F.min("item_id").alias("item_id"), F.first("words").alias("words"))
 
 
-def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6, cover: float = 0.3, masks: tuple[str, ...] = MASKS, around: int = 64) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6, cover: float = 0.3, masks: tuple[str, ...] = MASKS, around: int = 64, enough: int = 13) -> DataFrame:
     """doc_id, item_id, start, end, n_equal, n_item, coverage: the best stretch of each item around each run of hits.
 
-    start, end: places of words of the document. around: how many words beside hits are kept for the comparison; the
+    start, end: places of words of the document. coverage: of the row's stretch alone. around: how many words beside hits are kept for the comparison; the
     longest item's length is used where that is more.
     """
     spark = ship(docs.sparkSession)
@@ -119,6 +140,7 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
     def windows(batches):
         table = Bloom(held.value)
         for b in batches:
+            tag = uuid.uuid4().hex
             for first, rows, row, word in words(b.column(1)):
                 n = np.bincount(row, minlength=rows)
                 edge = np.cumsum(n) - n
@@ -148,24 +170,25 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
                 which = np.repeat(np.arange(len(begin)), until - begin)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([f"{tag}-{k}" for k in (first + own).tolist()], pa.string()),
                         b.column(0).slice(first, rows).take(pa.array(own)),
                         pa.array(lo - edge[own]),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(short(word[take]))),
                         pa.ListArray.from_arrays(pa.array(hits), pa.array(signed(h))),
                         pa.ListArray.from_arrays(pa.array(hits), pa.array((at - lo[which]).astype(np.int32))),
                     ],
-                    names=["doc_id", "first", "words", "seeds", "places"],
+                    names=["source", "doc_id", "first", "words", "seeds", "places"],
                 )
 
-    near = fit_columns(docs, "doc_id", "text").mapInArrow(windows, "doc_id long, first long, words array<int>, seeds array<long>, places array<int>")
+    near = fit_columns(docs, "doc_id", "text").mapInArrow(windows, "source string, doc_id long, first long, words array<int>, seeds array<long>, places array<int>")
     near = cut(near.withColumn("window", F.expr("uuid()")), "windows")
     hits = near.select("window", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("window", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
     met = hits.join(small(known), "seed").select("window", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    both = met.join(near.select("window", "doc_id", "first", "words"), "window").join(small(items.select("item", "item_id", F.transform("words", lambda x: F.shiftright(x, 32).cast("int")).alias("item_words"))), "item")
+    both = met.join(near.select("window", "source", "doc_id", "first", "words"), "window").join(small(items.select("item", "item_id", F.transform("words", lambda x: F.shiftright(x, 32).cast("int")).alias("item_words"))), "item")
 
     def verify(batches):
         for b in batches:
-            out = []
+            out, places = [], []
             diagonal = b.column("diagonal").to_pylist()
             texts, tests = b.column("words"), b.column("item_words")
             for k, d in enumerate(diagonal):
@@ -173,21 +196,38 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
                 lo, hi = max(0, -d), min(len(test), len(text) - d)
                 if hi <= lo:
                     continue
-                start, end, equal = best_stretch(text[lo + d : hi + d] == test[lo:hi])
-                n = len(test)
-                if equal >= min(least, n) and 5 * (end - start - equal) <= end - start and equal >= cover * n:
-                    out.append((k, lo + d + start, lo + d + end, equal, n))
+                same = text[lo + d : hi + d] == test[lo:hi]
+                for start, end, equal in stretches(same, min(least, len(test))):
+                    out.append((k, lo + d + start, lo + d + end, equal, len(test)))
+                    places.append((lo + start + np.flatnonzero(same[start:end])).tolist())
             if out:
                 at, start, end, equal, n = map(np.array, zip(*out))
                 first = b.column("first").to_numpy()[at]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("window").take(pa.array(at)), b.column("doc_id").take(pa.array(at)), b.column("item_id").take(pa.array(at)), pa.array(first + start), pa.array(first + end), pa.array(equal), pa.array(n)],
-                    names=["window", "doc_id", "item_id", "start", "end", "n_equal", "n_item"],
+                    [*(b.column(c).take(pa.array(at)) for c in names[:5]), pa.array(first + start), pa.array(first + end), pa.array(equal), pa.array(n), pa.array(places, pa.list_(pa.int32()))],
+                    names=[*names[:5], "start", "end", "n_equal", "n_item", "places"],
                 )
 
-    found = both.select("window", "doc_id", "item_id", "first", "diagonal", "words", "item_words").mapInArrow(verify, "window string, doc_id long, item_id long, start long, end long, n_equal long, n_item long")
-    best = found.groupBy("window", "doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("s"), F.col("end").alias("e"), "n_item")).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.s")).alias("start"), F.col("m.e").alias("end"), F.col("m.n_equal").alias("n_equal"), F.col("m.n_item").alias("n_item"), F.round(F.col("m.n_equal") / F.col("m.n_item"), 6).alias("coverage"))
+    def decide(batches):
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                n = row["n_item"]
+                of = sorted(row["stretches"], key=lambda x: (-x["n_equal"], x["start"], x["end"]))
+                if of[0]["n_equal"] >= min(enough, n) or len({p for x in of for p in x["places"]}) >= cover * n:
+                    seen = set()
+                    for x in of:  # the best of each window
+                        if x["window"] not in seen:
+                            seen.add(x["window"])
+                            out.append((row["doc_id"], row["item_id"], x["start"], x["end"], x["n_equal"], n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "start", "end", "n_equal", "n_item"])
+
+    names = ["source", "window", "doc_id", "item", "item_id", "first", "diagonal", "words", "item_words"]
+    found = both.select(*names).mapInArrow(verify, "source string, window string, doc_id long, item long, item_id long, start long, end long, n_equal long, n_item long, places array<int>")
+    pairs = found.groupBy("source", "item").agg(*(F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item")), F.collect_list(F.struct("window", "start", "end", "n_equal", "places")).alias("stretches"))
+    bad = pairs.mapInArrow(decide, "doc_id long, item_id long, start long, end long, n_equal long, n_item long")
+    return bad.withColumn("coverage", F.round(F.col("n_equal") / F.col("n_item"), 6))
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:

@@ -76,3 +76,21 @@ def test_a_swapped_word_leaves_a_hit():
     for swapped in range(12):
         same = [k != swapped for k in range(12)]
         assert any(all(same[a + k] for k, c in enumerate(m) if c == "1") for m in MASKS for a in range(12 - len(m) + 1)), swapped
+
+
+def test_long_items_and_items_in_pieces(spark):
+    w = [f"w{i}" for i in range(500)]
+    x = [f"x{i}" for i in range(500)]
+    quarters = [q for k in range(0, 40, 10) for q in [*x[k : k + 10], f"new{k}"]]
+    docs = [
+        (1, " ".join(["before", *w[200:340], "after"])),  # 140 words in a row of 500
+        (2, " ".join(quarters)),  # four tenths of words, each on its own diagonal
+        (3, " ".join([*x[:10], *(f"y{i}" for i in range(2000)), *x[20:30]])),  # two of them, far apart
+        (4, " ".join([*x[:10], *(f"z{i}" for i in range(10)), *x[20:30]])),  # two on one diagonal
+        (5, " ".join([*w[:12], "y", *w[50:62]])),  # neither long enough nor enough of the item
+        (6, " ".join([*x[:10], *(f"y{i}" for i in range(300)), *x[:10]])),  # the same quarter twice is a quarter
+    ]
+    tests = [(1, " ".join(w)), (2, " ".join(x[:40]))]
+    got = leaks(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(*r, "y") for r in tests], BENCH)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 2), (4, 2)}
+    assert [(r.start, r.end, r.n_equal, r.n_item) for r in got if r.doc_id == 1] == [(1, 141, 140, 500)]
