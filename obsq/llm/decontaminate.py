@@ -20,6 +20,7 @@ rows again; null ids are kept as they are; empty tables give no rows; other colu
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,8 @@ def _benchmark(bench: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6, cover: float = 0.3, masks: tuple[str, ...] = MASKS, around: int = 64, enough: int = 13) -> DataFrame:
-    """doc_id, item_id, start, end, n_equal, n_item, coverage: the best stretch of each item around each run of hits.
+    """doc_id, item_id, start, end, n_equal, n_item, coverage: the stretches of each item that leaks, without
+    those that overlap a better one of the same item.
 
     start, end: places of words of the document. coverage: of the row's stretch alone. around: how many words beside hits are kept for the comparison; the
     longest item's length is used where that is more.
@@ -204,8 +206,8 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
                 at, start, end, equal, n = map(np.array, zip(*out))
                 first = b.column("first").to_numpy()[at]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(pa.array(at)) for c in names[:5]), pa.array(first + start), pa.array(first + end), pa.array(equal), pa.array(n), pa.array(places, pa.list_(pa.int32()))],
-                    names=[*names[:5], "start", "end", "n_equal", "n_item", "places"],
+                    [*(b.column(c).take(pa.array(at)) for c in names[:4]), pa.array(first + start), pa.array(first + end), pa.array(equal), pa.array(n), pa.array(places, pa.list_(pa.int32()))],
+                    names=[*names[:4], "start", "end", "n_equal", "n_item", "places"],
                 )
 
     def decide(batches):
@@ -215,17 +217,19 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
                 n = row["n_item"]
                 of = sorted(row["stretches"], key=lambda x: (-x["n_equal"], x["start"], x["end"]))
                 if of[0]["n_equal"] >= min(enough, n) or len({p for x in of for p in x["places"]}) >= cover * n:
-                    seen = set()
-                    for x in of:  # the best of each window
-                        if x["window"] not in seen:
-                            seen.add(x["window"])
+                    starts, ends = [], []
+                    for x in of:  # the best first, and of the others those that lie apart from them
+                        k = bisect_right(ends, x["start"])
+                        if k == len(ends) or x["end"] <= starts[k]:
+                            starts.insert(k, x["start"])
+                            ends.insert(k, x["end"])
                             out.append((row["doc_id"], row["item_id"], x["start"], x["end"], x["n_equal"], n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "start", "end", "n_equal", "n_item"])
 
-    names = ["source", "window", "doc_id", "item", "item_id", "first", "diagonal", "words", "item_words"]
-    found = both.select(*names).mapInArrow(verify, "source string, window string, doc_id long, item long, item_id long, start long, end long, n_equal long, n_item long, places array<int>")
-    pairs = found.groupBy("source", "item").agg(*(F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item")), F.collect_list(F.struct("window", "start", "end", "n_equal", "places")).alias("stretches"))
+    names = ["source", "doc_id", "item", "item_id", "first", "diagonal", "words", "item_words"]
+    found = both.select(*names).mapInArrow(verify, "source string, doc_id long, item long, item_id long, start long, end long, n_equal long, n_item long, places array<int>")
+    pairs = found.groupBy("source", "item").agg(*(F.first(c).alias(c) for c in ("doc_id", "item_id", "n_item")), F.collect_list(F.struct("start", "end", "n_equal", "places")).alias("stretches"))
     bad = pairs.mapInArrow(decide, "doc_id long, item_id long, start long, end long, n_equal long, n_item long")
     return bad.withColumn("coverage", F.round(F.col("n_equal") / F.col("n_item"), 6))
 

@@ -94,3 +94,10 @@ def test_long_items_and_items_in_pieces(spark):
     got = leaks(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(*r, "y") for r in tests], BENCH)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 2), (4, 2)}
     assert [(r.start, r.end, r.n_equal, r.n_item) for r in got if r.doc_id == 1] == [(1, 141, 140, 500)]
+
+
+def test_every_copy_of_an_item_has_its_row(spark):
+    item, gap = [f"w{i}" for i in range(20)], [f"y{i}" for i in range(100)]
+    docs = [(1, " ".join([*item, *gap, *item, *item, *gap * 3, *item]))]
+    got = leaks(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(7, " ".join(item), "y")], BENCH)).collect()
+    assert sorted((r.start, r.end, r.n_equal) for r in got) == [(k, k + 20, 20) for k in (0, 120, 140, 460)]
