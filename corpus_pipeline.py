@@ -3,17 +3,17 @@
 Each stage takes all rows that its predecessor kept, and its decisions take effect: documents without a language go;
 later copies of repeated line runs, of one word or more, are cut out of the texts, and documents of which nothing is left go; of each group of
 near-duplicates the document with the smallest id stays; documents with a benchmark item in them go; the rest is packed.
+Decisions hold for an id with its text: rows without an id, or that share one, are judged each by their own text.
 All stages but the last return the columns of documents, with n_chars as the length of the text as it now is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from obsq.llm.common import cut, table
-from obsq.llm.decontaminate import decontaminated
+from obsq.llm.common import cut, small, table
+from obsq.llm.decontaminate import leaks
 from obsq.llm.language_id import identified
 from obsq.llm.line_dedup import deduplicated
 from obsq.llm.ngram_join import JaccardJoin
@@ -26,6 +26,13 @@ SHINGLE, NUM, DEN = 5, 80, 100
 MIN_WORDS = 1
 
 
+KEY = "__pipeline_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those with null text or without letters go."""
     return identified(docs)
@@ -38,21 +45,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest id; rows that repeat an id and its text count once."""
-    found = cut(JaccardJoin(docs, SHINGLE, NUM, DEN).link(), "groups")
-    gone = found.where("n_shingles > 0 AND doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    again = cut(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """One document of each group, that with the smallest id, null last; rows that repeat an id and its text count once."""
+    keyed = _keyed(docs)
+    found = JaccardJoin(keyed.select(F.col(KEY).alias("doc_id"), "text"), SHINGLE, NUM, DEN).link()
+    found = cut(found.where("n_shingles > 0").select(F.col("doc_id").alias(KEY), "component_id"), "groups")
+    ids = keyed.select(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
+    first = found.distinct().join(ids.hint("merge"), KEY).groupBy("component_id").agg(F.min(F.struct("_id", KEY)).alias("m")).select(F.col(f"m.{KEY}").alias(KEY))
+    gone = cut(found.select(KEY).distinct().join(first.hint("merge"), KEY, "left_anti"), "gone")
+    kept = keyed.join(gone.hint("merge"), KEY, "left_anti")
+    again = cut(found.groupBy(KEY).count().where("count > 1").select(KEY), "repeated")
     if again.isEmpty():
-        return kept
-    once = kept.join(again.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    once = once.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return kept.join(again.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return kept.select(*docs.columns)
+    once = kept.join(again.hint("merge"), KEY, "left_semi").dropDuplicates([KEY])
+    return kept.join(again.hint("merge"), KEY, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Rows in which no benchmark item leaks."""
+    keyed = _keyed(docs)
+    bad = cut(leaks(keyed.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
+    return keyed.join(small(bad), KEY, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

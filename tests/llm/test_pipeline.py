@@ -54,3 +54,17 @@ def test_later_copies_of_short_lines_go(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], COLUMNS)
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: (texts[1], len(texts[1])), 2: ("second\n", 7), 4: (texts[4], len(texts[4]))}
+
+
+def test_decisions_are_by_row(spark, tmp_path):
+    w = [f"word{i}" for i in range(200)]
+    one, other, item = " ".join(w[:60]), " ".join(w[60:120]), " ".join(w[120:140])
+    rows = [(None, one), (5, one), (9, one), (9, other), (3, " ".join(w[152:190]) + " " + item), (3, w[150]), (None, item), (None, w[151]), (5, one)]
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], COLUMNS)
+
+    def left(out):
+        return sorted(str((r.doc_id, r.text)) for r in out.collect())
+
+    assert left(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))) == sorted(map(str, [(5, one), (9, other), *rows[4:8]]))
+    assert left(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == sorted(map(str, [*rows[:4], rows[5], *rows[7:]]))
