@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
@@ -82,6 +83,23 @@ def fit_columns(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the table has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list:
+    """All columns of the table, whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """The table with a broadcast hint if its written size is proven to be under the bound; else Catalyst's own choice."""
     path = getattr(df, "cut_path", None)
@@ -111,34 +129,59 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-class Roller:
-    """Hashes of any spans of a byte array in constant time each, from prefix sums of a polynomial modulo 2^64."""
+#: Spans of more bytes than this are hashed one by one.
+LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
-    BASE = 0xD1342543DE82EF95
 
-    def __init__(self) -> None:
-        self.table = constants(256, 11)
-        self.up = self.down = np.ones(1, U64)
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
-    def _need(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 20)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", inverse)):
-                p = np.full(n, base, U64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=U64))
 
-    def prefix(self, data: np.ndarray, lookup: np.ndarray | None = None) -> np.ndarray:
-        """lookup: a table of 256 values in place of the standard one, e.g. that folds case."""
-        self._need(len(data) + 1)
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum((self.table if lookup is None else lookup)[data] * self.up[: len(data)], out=out[1:], dtype=U64)
-        return out
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of a byte array, mixed anew after every eight bytes. Lanes are independent of each other."""
+    size = end - start
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0xD1342543DE82EF95 * (lane + 1) % (1 << 64)))
+    view = _eights(data)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        word = view[start[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]
+        h[live] = mix((h[live] ^ word) * U64(0xC2B2AE3D27D4EB4F) + U64(at + 1))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, person=b"span%d" % lane).digest(), "little")
+    return h
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (prefix[end] - prefix[start]) * self.down[start]
-        return mix(h + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+def same_spans(data: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the spans of these sizes at `first` have the bytes of those at `second`, all of them."""
+    view = _eights(data)
+    live, at = np.flatnonzero((first != second) & (size > 0) & (size <= LONG)), 0
+    while len(live):
+        keep = _KEEP[np.minimum(size[live] - at, 8)]
+        if ((view[first[live] + at] ^ view[second[live] + at]) & keep).any():
+            return False
+        at += 8
+        live = live[size[live] > at]
+    other = np.flatnonzero((first != second) & (size > LONG)).tolist()
+    return all(np.array_equal(data[first[k] : first[k] + size[k]], data[second[k] : second[k] + size[k]]) for k in other)
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """(hash of each distinct span, one of its spans, which of them each span is), with every span's bytes compared.
+
+    If unlike spans have one hash, each span is distinct and there are no hashes.
+    """
+    keys, at, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    size = end - start
+    if np.array_equal(size, size[at][which]) and same_spans(data, start, start[at][which], size):
+        return keys, at, which
+    every = np.arange(len(start))
+    return None, every, every
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -160,11 +203,9 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iter
         row = end
 
 
-def lower_ascii(table256: np.ndarray) -> np.ndarray:
-    """The same hashing table with A-Z read as a-z."""
-    out = table256.copy()
-    out[65:91] = out[97:123]
-    return out
+#: Bytes with A-Z read as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsq.llm.common import U64, Bloom, Roller, constants, cut, fit_columns, mix, ship, signed, small, text_slices, words_of
+from obsq.llm.common import U64, Bloom, constants, cut, fit_columns, mix, ship, signed, small, span_hashes, text_slices, words_of
 
 #: 1: a word that counts, 0: one that is ignored. Each mask has six that count.
 MASKS = ("111111", "11011011", "1100110011", "101011010001")
@@ -37,14 +37,13 @@ MATCH, MISMATCH = 1, -3
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SALT = constants(32, 1234)
-_ROLL = Roller()
 
 
 def words(column: pa.Array):
     """For runs of rows: (first row, rows, row of each word, hash of each word)."""
     for first, data, offsets in text_slices(pc.utf8_lower(column)):
         start, end, row = words_of(data, offsets, _BETWEEN)
-        yield first, len(offsets) - 1, row, _ROLL.spans(_ROLL.prefix(data), start, end)
+        yield first, len(offsets) - 1, row, span_hashes(data, start, end)
 
 
 def short(word: np.ndarray) -> np.ndarray:

@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsq.llm.common import U64, WHITE, Bloom, Roller, constants, cut, discard, fit_columns, lower_ascii, mix, release, ship, signed, small, text_slices, words_of
+from obsq.llm.common import LOWER, U64, WHITE, Bloom, constants, cut, discard, fit_columns, mix, release, ship, signed, small, span_hashes, text_slices, words_of
 from obsq.llm.components import components
 
 _SALT = constants(16, 77)
-_LETTERS = lower_ascii(Roller().table)
-_ROLL = Roller()
 
 
 def shingle_sets(column: pa.Array, n: int):
@@ -37,7 +35,7 @@ def shingle_sets(column: pa.Array, n: int):
     for first, data, offsets in text_slices(column):
         rows = len(offsets) - 1
         start, end, row = words_of(data, offsets, WHITE)
-        word = _ROLL.spans(_ROLL.prefix(data, _LETTERS), start, end)
+        word = span_hashes(LOWER[data], start, end)
         have = np.bincount(row, minlength=rows)
         whole = np.zeros(0, np.int64)
         if len(word) >= n:

@@ -6,8 +6,8 @@ failure link and the number of pieces that are popped when matching can't go on
 counts its pieces; none is built. A word that can't be matched whole counts as one unknown token, and so does one of more
 than `longest` letters where that is given; the query sets no such bound.
 
-Words stand between white space. Equal words of a batch are counted once, and a worker keeps the counts of words that it
-has seen, up to a bound.
+Words stand between white space. Equal words of a batch, compared byte by byte, are counted once, and a worker keeps the
+counts of words that it has seen, by 128 bits of hash, up to a bound.
 
 Defined cases: null and blank texts have no tokens; repeated rows are counted alike; an empty table gives no rows; very
 long texts are counted whole; other columns are ignored.
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from obsq.llm.common import U64, WHITE, Roller, fit_columns, ship, text_slices, words_of
+from obsq.llm.common import U64, WHITE, distinct_spans, fit_columns, ship, span_hashes, text_slices, words_of
 
 
 class LongestMatch:
@@ -93,10 +93,23 @@ def sentence_pieces(path: str) -> LongestMatch:
 class _Counts:
     """Counts of the words that this worker has seen, by their hash."""
 
-    def __init__(self, path: str, longest: int | None, most: int = 2_000_000) -> None:
-        self.machine, self.longest, self.most, self.roller = sentence_pieces(path), longest, most, Roller()
-        self.keys, self.values = np.zeros(0, U64), np.zeros(0, np.int32)
-        self.new: dict[int, int] = {}
+    def __init__(self, path: str, longest: int | None, most: int = 500_000) -> None:
+        self.machine, self.longest, self.most = sentence_pieces(path), longest, most
+        self.keys, self.sure, self.values = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32)
+        self.new: dict[tuple[int, int], int] = {}
+
+    def _count(self, word: str) -> int:
+        return self.machine.count(word) if self.longest is None or len(word) <= self.longest else 0
+
+    def _keep(self) -> None:
+        """Words met since the last time join the sorted store, which is begun anew when it is full."""
+        found = np.array(list(self.new), U64).reshape(-1, 2)
+        keys, sure = np.concatenate((self.keys, found[:, 0])), np.concatenate((self.sure, found[:, 1]))
+        values = np.concatenate((self.values, np.fromiter(self.new.values(), np.int32, len(self.new))))
+        if len(keys) > self.most:
+            keys, sure, values = (x[-min(len(self.new), self.most) :] for x in (keys, sure, values))
+        order = np.argsort(keys)
+        self.keys, self.sure, self.values, self.new = keys[order], sure[order], values[order], {}
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """words, tokens, unknown words of each row."""
@@ -105,27 +118,24 @@ class _Counts:
         words = np.bincount(row, minlength=rows)
         if not len(start):
             return words, words, words
-        h = self.roller.spans(self.roller.prefix(data), start, end)
-        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
-        n = np.full(len(distinct), -1, np.int32)
-        if len(self.keys):
-            spot = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            hit = self.keys[spot] == distinct
-            n[hit] = self.values[spot[hit]]
+        distinct, at, which = distinct_spans(data, start, end)
+        n = np.full(len(at), -1, np.int32)
         raw = data.tobytes()
-        for k in np.flatnonzero(n < 0).tolist():
-            key = int(distinct[k])
-            if (v := self.new.get(key)) is None:
-                word = raw[start[at[k]] : end[at[k]]].decode()
-                v = self.new[key] = self.machine.count(word) if self.longest is None or len(word) <= self.longest else 0
-            n[k] = v
-        if len(self.new) > max(50_000, len(self.keys) // 4):
-            keys = np.concatenate((self.keys, np.fromiter(self.new, U64, len(self.new))))
-            values = np.concatenate((self.values, np.fromiter(self.new.values(), np.int32, len(self.new))))
-            if len(keys) > self.most:
-                keys, values = keys[-len(self.new) :], values[-len(self.new) :]
-            order = np.argsort(keys)
-            self.keys, self.values, self.new = keys[order], values[order], {}
+        if distinct is None:
+            n[:] = [self._count(raw[a:b].decode()) for a, b in zip(start.tolist(), end.tolist())]
+        else:
+            sure = span_hashes(data, start[at], end[at], 1)
+            if len(self.keys):
+                spot = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+                hit = (self.keys[spot] == distinct) & (self.sure[spot] == sure)
+                n[hit] = self.values[spot[hit]]
+            for k in np.flatnonzero(n < 0).tolist():
+                key = int(distinct[k]), int(sure[k])
+                if (v := self.new.get(key)) is None:
+                    v = self.new[key] = self._count(raw[start[at[k]] : end[at[k]]].decode())
+                n[k] = v
+            if len(self.new) > max(50_000, len(self.keys) // 4):
+                self._keep()
         each = n[which]
         return words, np.bincount(row, weights=np.maximum(each, 1), minlength=rows).astype(np.int64), np.bincount(row[each == 0], minlength=rows)
 

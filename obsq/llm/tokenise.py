@@ -2,8 +2,8 @@
 
 A byte-level BPE splits a text before its merges, and the ids of each part depend on that part alone. A part never
 reaches over a single space or line feed that stands between other characters, nor from a letter to what is none, so
-texts are cut there, equal cuts are found by hash within a batch, and only cuts that the worker has not seen go to the
-tokenizer: plain words straight to its merges, all else through its own split.
+texts are cut there, equal cuts are found by hash within a batch and compared byte by byte, and only cuts that the worker
+has not seen, by 128 bits of hash, go to the tokenizer: plain words straight to its merges, all else through its own split.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from obsq.llm.common import U64, Roller, text_slices
+from obsq.llm.common import distinct_spans, span_hashes, text_slices
 
 #: Bytes that are surely not white space: visible ASCII, and lead bytes of characters outside the blocks with white space.
 _INK = np.zeros(256, bool)
@@ -42,7 +42,7 @@ _OPEN: dict[str, "Encoder"] = {}
 class Encoder:
     """ids(): the ids of many texts as one array. The store of known cuts is bounded by `most` entries."""
 
-    def __init__(self, path: str, most: int = 2_000_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,14 +51,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.roller = most, Roller()
+        self.most = most
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
         self._empty()
 
     def _empty(self) -> None:
         self.size, self.pool, self.used = 0, np.zeros(1 << 16, "<u4"), 0
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted keys, first id and count in the pool; each run under half of the one before
+        # Sorted keys, their second hash, first id and count in the pool; each run under half of the one before.
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     @classmethod
     def open(cls, path: str) -> "Encoder":
@@ -85,19 +86,19 @@ class Encoder:
         count = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter((i for x in out for i in x), "<u4", int(count.sum())), count
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, keys: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, count = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for known, at, n in self.runs:
+        for known, check, at, n in self.runs:
             spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[spot] == keys
+            hit = (known[spot] == keys) & (check[spot] == sure)
             first[hit], count[hit] = at[spot[hit]], n[spot[hit]]
         return first, count
 
-    def _add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, sure: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool[: self.used], np.zeros(self.used + len(ids), "<u4")))
         self.pool[self.used : self.used + len(ids)] = ids
-        run = (keys, self.used + np.cumsum(count) - count, count)
+        run = (keys, sure, self.used + np.cumsum(count) - count, count)
         self.used += len(ids)
         self.size += len(keys)
         while self.runs and len(self.runs[-1][0]) < 2 * len(run[0]):
@@ -123,15 +124,17 @@ class Encoder:
         cutting[offsets[:-1][offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(cutting)
         end = np.append(start[1:], len(data))
-        h = self.roller.spans(self.roller.prefix(data), start, end)
-        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
+        distinct, at, which = distinct_spans(data, start, end)
+        if distinct is None:
+            return self._encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
         if self.size + len(distinct) > self.most:
             self._empty()
-        first, count = self._find(distinct)
+        sure = span_hashes(data, start[at], end[at], 1)
+        first, count = self._find(distinct, sure)
         if len(new := np.flatnonzero(first < 0)):
             ids, n = self._encode_cuts([raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())])
             first[new], count[new] = self.used + np.cumsum(n) - n, n
-            self._add(distinct[new], ids, n)
+            self._add(distinct[new], sure[new], ids, n)
         first, count = first[which], count[which]
         total = np.cumsum(count)
         out = self.pool[np.repeat(first - (total - count), count) + np.arange(total[-1])]

@@ -117,3 +117,12 @@ def test_sets_are_whole_and_distinct():
     for first, rows, at, h in shingle_sets(pa.array(texts), 4):
         n[first : first + rows] = np.bincount(at, minlength=rows)
     assert n.tolist() == [2, 0, 5, 1, 0]
+
+
+def test_words_that_clash_in_polynomial_hashes(spark):
+    from tests.llm.test_tokenise import thue_morse
+
+    a, b = thue_morse(1024, 0), thue_morse(1024, 1)
+    rows = [(1, a), (2, b), (3, f"{a} one two three"), (4, f"{b} one two three")]
+    got = op3_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}

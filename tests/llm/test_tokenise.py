@@ -32,3 +32,33 @@ def test_an_end_id_follows_every_document():
     out = list(documents_ids(PATH, pa.array(["a", None, ""])))
     assert [c.tolist() for _, _, c in out] == [[2, 1, 1]]
     assert out[0][1].tolist()[1:] == [0, 0, 0]
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_clash_in_polynomial_hashes():
+    """Two Thue-Morse words of 1,024 letters have one hash for any odd base modulo 2^64."""
+    a, b = thue_morse(1024, 0), thue_morse(1024, 1)
+    tokenizer = Encoder(PATH).tokenizer
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in (a, b, a + " " + b)]
+    (_, ids, count), = documents_ids(PATH, pa.array([a, b, a + " " + b]))
+    assert ids.tolist() == sum(want, []) and count.tolist() == list(map(len, want))
+
+
+def test_equal_hashes_of_unlike_cuts(monkeypatch):
+    from obsq.llm import common
+
+    monkeypatch.setattr(common, "span_hashes", lambda data, start, end, lane=0: (end - start).astype(np.uint64))
+    encoder = Encoder(PATH)
+    ((_, data, offsets),) = common.text_slices(pa.array(["one two", "six ten", "one"]))
+    ids, _ = encoder.ids(data, offsets)
+    assert ids.tolist() == sum((encoder.tokenizer.encode(t).ids for t in ("one two", "six ten", "one")), [])
+
+
+def test_long_words():
+    texts = ["x" * 100_000 + " y", "x" * 99_999 + "z " + "ab" * 300]
+    tokenizer = Encoder(PATH).tokenizer
+    (_, ids, _), = documents_ids(PATH, pa.array(texts))
+    assert ids.tolist() == sum(([*tokenizer.encode(t).ids, 0] for t in texts), [])
