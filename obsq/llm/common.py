@@ -44,11 +44,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/obsq-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: ends the lineage and survives executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, name: str, whole: bool = False) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder and read again: ends the lineage and survives executors.
+
+    At most four files for each core are written, so that a table of many small partitions isn't as many small files.
+    whole: a task for each partition, for code that goes by the number of its task.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    (df if whole else df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism))).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 

@@ -13,10 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from obsq.llm.common import cut, fit_columns, ship
+from obsq.llm.common import cut, fit_columns, ship, small
 from obsq.llm.tokenise import documents_ids
 
 
@@ -72,15 +72,15 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0
 
 def number(made: DataFrame) -> DataFrame:
     """sequence_id and offset for rows of pieces(), with whatever columns they still have besides part and slot."""
-    made = cut(made, "pieces")
-    spark = made.sparkSession
-    sizes = made.groupBy("length", "part").count().collect()  # a row for each task and length, so bounded by the tasks
-    rows, base = [], 0
-    for r in sorted(sizes, key=lambda r: (-r["length"], r.part)):
-        rows.append((r["length"], r.part, base))
-        base += r["count"]
-    bases = spark.createDataFrame(rows, T.StructType([T.StructField("length", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("base", T.LongType())]))
-    return made.join(F.broadcast(bases), ["length", "part"]).withColumn("sequence_id", F.col("base") + F.col("slot")).withColumn("offset", F.lit(0).cast("long")).drop("base", "part", "slot")
+    made = cut(made, "pieces", whole=True)
+    sizes = made.groupBy("length", "part").count()
+    at, sums = 0, F.lit(None).cast("long")
+    for r in sorted(sizes.groupBy("length").agg(F.sum("count").alias("n")).collect(), key=lambda r: -r["length"]):  # a row for each power of two
+        sums = F.when(F.col("length") == r["length"], F.lit(at).cast("long")).otherwise(sums)
+        at += r.n
+    before = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = cut(sizes.select("length", "part", (sums + before).alias("base")), "bases")  # a row for each task and length
+    return made.join(small(bases), ["length", "part"]).withColumn("sequence_id", F.col("base") + F.col("slot")).withColumn("offset", F.lit(0).cast("long")).drop("base", "part", "slot")
 
 
 def op9_packing(spark: SparkSession, docs: DataFrame, tokenizer: str, longest: int = 1024) -> DataFrame:

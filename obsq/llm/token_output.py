@@ -171,7 +171,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, block:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "path": [path], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    files = cut(dealt.mapInArrow(write, "number int, path string, n_docs long, n_tokens long"), "manifest")
+    files = cut(dealt.mapInArrow(write, "number int, path string, n_docs long, n_tokens long"), "manifest", whole=True)
     start, rows = 0, []
     for r in sorted(files.collect(), key=lambda r: r.number):  # one row a file
         rows.append((r.number, r.path, r.n_docs, r.n_tokens, start))
