@@ -6,8 +6,9 @@ that only look like ASCII become it and invisible ones vanish; spelled digits be
 become signs. What the patterns find there, and is well-formed, is mapped back to source characters, and becomes a span if it was
 disguised (its source isn't what was found) and no base span of its kind holds it. Base spans always stay.
 
-Only texts with a sign of disguise go through the chain. Spelled digits count in runs of at least four, and a bare
-`at` only where a bare or bracketed `dot` follows a word later, so that prose is left alone.
+Only texts with a sign of disguise go through the chain. Spelled digits count in runs of at least four, or as the numbers
+of an address with three points, and a bare `at` only where a bare or bracketed `dot` follows a word later, so that prose
+is left alone. Searching takes time in proportion to the text, whatever is in it.
 
 Defined cases: null counts as empty and has no spans; repeated rows give equal results; an empty table gives no rows;
 texts of any length are searched whole; other columns are ignored. Offsets are code points, ends exclusive.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,9 +35,14 @@ CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL, _IP, _CARD, _PHONE = map(re.compile, (EMAIL, IP, CARD, PHONE))
+# The same matches in time that grows with the text alone: a match begins where its first run of letters or digits
+# does, and no run is given back.
+_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(PHONE)
 _DIGIT = re.compile("[0-9]")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 
 
 def luhn(digits: str) -> bool:
@@ -47,24 +54,28 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str):
-    """Matches of EMAIL; only stretches of its letters around an @ are searched, and no match leaves one."""
-    at, n = text.find("@"), len(text)
-    while at >= 0:
-        lo = hi = at
-        while lo and text[lo - 1] in _EMAIL_CHARS:
-            lo -= 1
-        while hi < n and text[hi] in _EMAIL_CHARS:
-            hi += 1
-        for m in _EMAIL.finditer(text[lo:hi]):
-            yield lo + m.start(), lo + m.end()
-        at = text.find("@", hi)
+    """Matches of EMAIL: for each @ the run of letters before it, as far as no match has taken it, and what follows."""
+    done = 0
+    if "@" not in text:
+        return
+    for m in _LOCAL.finditer(text):
+        start = max(m.start(), done)
+        if start < m.end() - 1 and (domain := _DOMAIN.match(text, m.end())):
+            done = domain.end()
+            yield start, done
+
+
+def octet(digits: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base spans of a text, by kind and start."""
     out = [(0, s, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(map(octet, m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -84,6 +95,11 @@ _HIDDEN = frozenset("­​‌‍⁠﻿‎‏᠎")
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _SPELLED = re.compile(r"(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])(?:[ ,.\-]{0,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])(?![a-z]))+(?![A-Za-z])", re.I)
 _PART = re.compile(r"zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]", re.I)
+# Four numbers of up to three digits, spelled or not, with a dot or a word or sign for one between them.
+_NUMBER = r"(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])(?:[ \-]?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])){0,2})"
+_POINT = r"(?: dot |[ ]{0,3}[\[({<][ ]{0,2}(?:dot|\.)[ ]{0,2}[\])}>][ ]{0,3}|_dot_|\.)"
+_OCTETS = re.compile(rf"(?<![A-Za-z0-9.]){_NUMBER}(?:{_POINT}{_NUMBER}){{3}}(?![A-Za-z0-9]|\.[0-9])", re.I)
+_OCTET_PART = re.compile(rf"({_POINT})|(zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ ]{0,2}(?=[0-9])", re.I)
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"[ ]{{0,3}}{_OPEN}[ ]{{0,2}}(?:at|@)[ ]{{0,2}}{_SHUT}[ ]{{0,3}}|[ ]{{1,3}}-at-[ ]{{1,3}}|_at_", re.I)
@@ -154,6 +170,18 @@ def _digits(m: re.Match):
     return [(_DIGITS.get(p, p), lo, hi) for p, lo, hi in parts]
 
 
+def _octets(m: re.Match):
+    """Digits and dots, if each number is at most 255 and something was disguised."""
+    out, number = [], ""
+    for p in _OCTET_PART.finditer(m[0]):
+        c = "." if p[1] else _DIGITS.get(p[2].lower(), p[2])
+        if c == "." and not octet(number):
+            return None
+        number = "" if c == "." else number + c
+        out.append((c, m.start() + p.start(), m.start() + p.end()))
+    return out if octet(number) and "".join(c for c, _, _ in out) != m[0] else None
+
+
 def _sign(c: str):
     return lambda m: [(c, m.start(), m.end())]
 
@@ -189,6 +217,7 @@ def rewritten(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     """The same for any text, by the whole chain."""
     m = Mapped(text)
     m.letters()
+    m.rewrite(_OCTETS, _octets)
     m.rewrite(_SPELLED, _digits)
     m.rewrite(_PLUS, _sign("+"))
     m.rewrite(_AT, _sign("@"))
@@ -199,9 +228,10 @@ def rewritten(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     out = []
     for kind, s, e in find(m.text):
         lo, hi = m.start[s], m.end[e - 1]
-        if text[lo:hi] == m.text[s:e] or any(k == kind and a <= lo and hi <= b for k, a, b in base):
-            continue
-        out.append((kind, lo, hi))
+        k = bisect_right(base, (kind, lo, len(text)))  # base spans of a kind lie apart, so only this one can hold it
+        held = k and base[k - 1][0] == kind and hi <= base[k - 1][2]
+        if text[lo:hi] != m.text[s:e] and not held:
+            out.append((kind, lo, hi))
     return out
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -105,3 +106,72 @@ def test_texts_that_are_passed_over_have_nothing_disguised():
         t = "".join(r.choices(letters, k=r.randint(1, 14)))
         base = find(t)
         assert disguised(t, base) == rewritten(t, base), t
+
+
+@pytest.mark.parametrize("text", ["9" * 5000 + ".1.2.3", "a" * 300_000 + "@", "1" * 1_000_000, "1." * 300_000, "a@" * 300_000, "+1" + "(" * 300_000, "one " * 200_000, "a@b.cc " * 50_000 + "one", "1.2.3.4 " * 50_000 + "one dot", "a at " * 100_000, "[" * 300_000 + " dot"])
+def test_long_runs_take_seconds(text):
+    began = time.process_time()
+    base = find(text)
+    disguised(text, base)
+    assert time.process_time() - began < 20
+    if len(text) < 6000:
+        assert base == []
+    assert find("0" * 5000 + "10.0.0.255") == [(1, 0, 5010)]
+
+
+OCTETS = ["192 dot 168 dot 1 dot 1", "one nine two dot one six eight dot one dot one", "192.168 dot 1.1", "one nine two.168.1.1", "10_dot_0_dot_0_dot_1"]
+
+
+@pytest.mark.parametrize("part", OCTETS)
+def test_addresses_with_points_in_words(part):
+    for around in ("{}", "at {} now", "x {}, y"):
+        text = around.format(part)
+        assert [(KINDS[k], text[s:e]) for k, s, e in disguised(text, find(text))] == [("ip", part)]
+    assert disguised("300 dot 168 dot 1 dot 1", []) == [] and disguised("one dot two dot three", []) == []
+
+
+def test_recall_of_planted_disguises():
+    """Random identifiers under random disguises within prose: what is found, with its exact place."""
+    r, words = random.Random(8), {str(i): w for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+    looks = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р"}
+
+    def spelled(x):
+        return " ".join(words.get(c, c) for c in x)
+
+    def email():
+        at, dot = r.choice([("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("_at_", "."), ("{at}", "."), (" @ ", "."), (" -at- ", "_dot_")])
+        x = "".join(r.choices("acemnopst", k=6)) + at + dot.join("".join(r.choices("acemnopst", k=r.randint(3, 8))) for _ in range(r.randint(2, 3)))
+        if at == "@":
+            k = r.choice([i for i, c in enumerate(x) if c in looks] or [0])
+            x = x[:k] + looks.get(x[k], "​" + x[k]) + x[k + 1 :] if r.random() < 0.6 else x[:2] + "​" + x[2:]
+        return x
+
+    def card():
+        d = "".join(r.choices("0123456789", k=15))
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return r.choice([spelled(d), "\xa0".join(d[i : i + 4] for i in range(0, 16, 4)), "".join(chr(0xFF10 + int(c)) for c in d)])
+
+    def phone():
+        d = "".join(r.choices("123456789", k=r.randint(9, 13)))
+        return r.choice(["plus " + spelled(d), "plus " + d, "＋" + d[:2] + " " + d[2:], "+" + "\xa0".join((d[:2], d[2:5], d[5:]))])
+
+    def ip():
+        o = [str(r.randint(0, 255)) for _ in range(4)]
+        return r.choice(["[.]".join(o), " dot ".join(o), " [dot] ".join(o), " dot ".join(map(spelled, o)), "(.)".join(o), "․".join(o)])
+
+    prose = "the people of this place read many books and walked to the river after dark".split()
+    hit = n = false = 0
+    for _ in range(1500):
+        kind = r.randrange(4)
+        part = (email, ip, card, phone)[kind]()
+        before, after = (" ".join(r.choices(prose, k=r.randint(1, 8))) for _ in range(2))
+        text = f"{before}: {part}; {after}"
+        found = find(text)
+        found += disguised(text, found)
+        lo = len(before) + 2
+        hit += (kind, lo, lo + len(part)) in found
+        n += 1
+        false += bool(disguised(f"{before}: {after}", []))
+    assert hit / n >= 0.9, hit / n
+    assert not false
+    print("recall of planted disguises", hit / n)
