@@ -110,3 +110,41 @@ def test_over_a_table(spark):
         assert sum(r.histogram) == len(payload)
     assert tuple(got[2])[1:] == tuple(got[6])[1:]
     assert op10_gif(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 191, 4000, 60000])
+def test_written_code_streams_are_those_of_a_plain_encoder(n):
+    """Long, repetitive and random samples, with tables that fill up and are cleared."""
+    from obsq.llm.gif import _codes
+
+    r = np.random.default_rng(n)
+    for samples in (r.integers(0, 256, n, dtype=np.uint8), r.integers(97, 100, n).astype(np.uint8), np.full(n, 7, np.uint8), np.frombuffer(b"the cat and the dog " * n, np.uint8, n)):
+        assert lzw(_codes(samples.tobytes()), 8, n).tolist() == samples.tolist()
+        assert lzw(compress(samples[:6000].tolist(), 8), 8, len(samples[:6000])).tolist() == samples[:6000].tolist()
+    text = b"the cat and the dog " * 500
+    assert len(_codes(text)) < len(text) // 3
+
+
+def test_frames_of_a_column(spark):
+    """Rows for frames, with times and what is seen, by transparency and disposal."""
+    from obsq.llm.gif import frames
+
+    full = [[1] * 4, [1] * 4]
+    raw = image([(0, 0, full, 1, None, False, None), (1, 0, [[2, 3]], 3, 3, False, None), (0, 1, [[3]], 2, None, False, None), (3, 1, [[0]], 0, None, False, bytes([9, 9, 9]) * 4)])
+    df = spark.createDataFrame([(1, raw, "x"), (2, None, "y"), (3, bytearray(encode(b"a" * 192 * 70)), "z")], "doc_id long, media binary, frame string")
+    got = {(r.doc_id, r.frame): r for r in frames(df, canvases=True).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (1, 3), (3, 0), (3, 1)]
+    assert [got[1, k].time_ms for k in range(4)] == [0, 70, 140, 210] and [got[1, k].disposal for k in range(4)] == [1, 3, 2, 0]
+    assert got[1, 0].histogram == [0, 0, 0, 0, 8, 0, 0, 0, 0] and got[1, 1].histogram == [0, 0, 1, 0, 1, 0, 0, 0, 0]
+    _, _, want = decode(raw)
+    assert [bytes(got[1, k].canvas) for k in range(4)] == [f.canvas.tobytes() for f in want]
+    assert frames(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_a_stored_image_that_is_changed_is_found(spark):
+    from obsq.llm.gif import media
+
+    raw = encode(b"a" * 192)
+    bad = raw.replace(b"sha256 ", b"sha256 0", 1)[: len(raw)]
+    with pytest.raises(Exception):
+        media(spark.createDataFrame([(1, 5, bytearray(bad))], "doc_id long, n_bytes long, media binary")).collect()
