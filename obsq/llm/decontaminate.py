@@ -12,8 +12,9 @@ Benchmark items with equal words are one, named by the smallest item_id. Before
 bit table of the benchmark's hashes, of bounded size; what is left is words around hits. Neither side is broadcast
 unless its written size is under a bound.
 
-Defined cases: null or blank texts match nothing; items of fewer words than the narrowest mask are only found whole,
-and those of fewer than `least_item` words are left out, as they would match clean text; repeated rows of documents give their
+Defined cases: null or blank texts match nothing; items of fewer words than the masks count have one seed of all their
+words, and are found whole; those of fewer than `least_item` words are left out, for uses where a phrase that clean text has
+too must not count; repeated rows of documents give their
 rows again; null ids are kept as they are; empty tables give no rows; other columns are ignored.
 """
 
@@ -122,6 +123,9 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
     items = cut(_benchmark(bench), "items").where(F.size("words") >= least_item)
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     reach = max(around, longest)
+    usual, weight = len(masks), min(m.count("1") for m in masks)
+    lengths = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < weight).distinct().collect())  # fewer than a mask counts
+    masks = (*masks, *("1" * n for n in lengths))
 
     def item_seeds(batches):
         for b in batches:
@@ -131,6 +135,9 @@ def leaks(docs: DataFrame, bench: DataFrame, least: int = 8, least_item: int = 6
             row = np.repeat(np.arange(len(n)), n)
             edge = np.cumsum(n) - n
             for m, at, h in seeds(row, word, masks):
+                if m >= usual:  # for items of this length alone
+                    own = n[row[at]] == len(masks[m])
+                    at, h = at[own], h[own]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), b.column(0).take(pa.array(row[at])), pa.array((at - edge[row[at]]).astype(np.int32))], names=["seed", "item", "place"])
 
     known = cut(items.select("item", "words").mapInArrow(item_seeds, "seed long, item long, place int"), "seeds")
@@ -239,5 +246,5 @@ def decontaminated(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
 
 
-def op1_decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    return leaks(docs, bench)
+def op1_decontaminate(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
+    return leaks(docs, bench, **how)

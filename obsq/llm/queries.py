@@ -18,7 +18,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.op1_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.op1_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_item=1)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,12 @@ def test_every_copy_of_an_item_has_its_row(spark):
     docs = [(1, " ".join([*item, *gap, *item, *item, *gap * 3, *item]))]
     got = leaks(spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS), spark.createDataFrame([(7, " ".join(item), "y")], BENCH)).collect()
     assert sorted((r.start, r.end, r.n_equal) for r in got) == [(k, k + 20, 20) for k in (0, 120, 140, 460)]
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "zebra"), (2, "green ideas sleep furiously"), (3, "one two three four five six seven eight nine")]
+    docs = [(1, "A Zebra, and more text"), (2, "so green ideas sleep furiously, they say"), (3, "green ideas sleep soundly"), (4, "one two three four five six seven eight nine"), (5, "green ideas"), (6, None), (7, "zebra")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(d, b, least_item=1).collect()}
+    assert got == {(1, 1), (7, 1), (2, 2), (4, 3)}
+    assert {(r.doc_id, r.item_id) for r in leaks(d, b).collect()} == {(4, 3)}
