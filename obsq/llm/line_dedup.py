@@ -1,10 +1,11 @@
-"""Deletion of repeated runs of lines, in DataFrame functions alone (operator 4).
-
-Each line gets an id, a document is the sequence of its ids, and all documents together are the text whose suffixes are
-compared. Prefix doubling gives every suffix a name for its first 1, 2, 4, ... lines: the name of twice the length is
-made of the names of its two halves, so suffixes have equal names where they begin alike. Suffixes whose first line
-occurs nowhere else are dropped before that. Suffixes that share at least n lines form an interval of the suffix array
-with that longest common prefix; two overlapping names of the largest power of two within n lines identify it. The
+"""Deletion of repeated runs of lines by a suffix array over line ids, in DataFrame functions alone (operator 4).
+
+Each line that occurs more than once gets an id, a document is the sequence of its ids, and all documents together are the
+text whose suffixes are sorted. Prefix doubling ranks every suffix by its first 1, 2, 4, ... lines: the pairs of ranks of
+the two halves are sorted over the cluster, and a pair's place is the rank for twice the length. Suffixes whose prefix
+occurs nowhere else drop out in each round. Ranks are made up to the longest run that is looked up, so they are the suffix
+array to that depth; suffixes with at least n lines in common are an interval of it, with a longest common prefix of n or
+more, and the ranks of the first and the last 2^t of those n lines, which overlap, tell which interval a suffix lies in. The
 first suffix of an interval, by doc_id and place, is the copy that stays; the lines of the others are deleted.
 
 A run counts if it has at least `min_words` words. It is enough to look at the shortest such run that begins at each
@@ -12,9 +13,10 @@ line and the shortest that ends at each line: every line of a maximal repeated r
 each of those is in the run's other copies too, as it follows from the lines alone. So just the lengths of these runs
 are looked up, and what is deleted is every later copy of each maximal repeated run, whole.
 
-Names are 64-bit hashes in place of sorted ranks: what is deleted depends on equality alone. No group is gathered: an
-interval is a count and its least place, and both are summed before the shuffle. Ids and intervals grow with the corpus,
-so they are joined by sorting both sides, whatever their size, and Spark splits the partitions of very common lines.
+Lines are told apart by 128 bits of hash. No group is gathered: an interval is a count and its least place, and pairs of
+ranks are counted before they are sorted, so a line that stands everywhere is one row there. Ids and intervals grow with
+the corpus, so they are joined by sorting both sides, whatever their size, and Spark splits the partitions of very common
+lines.
 
 Defined cases: a null text stays null, with no lines; rows with equal doc_id and equal text are one document and get
 equal results; a null doc_id comes last in the order; where copies overlap, the later one's lines go; lines are compared
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from obsq.llm.common import cut, discard, release
+from obsq.llm.common import columns, cut, discard, fit_columns, fresh, release
 
 _LAST = (1 << 63) - 1
 
@@ -36,13 +38,21 @@ def _key(df: DataFrame):
     return F.xxhash64(df["doc_id"], df["text"])
 
 
+def _ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """The values of `by` that occur more than once, and their place among these, in `rank`: larger for later ones."""
+    often = rows.where(F.col(by[-1]).isNotNull()).groupBy(*by).count().where("count > 1").select(*by)
+    return cut(often.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+
+
 def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """key (of doc_id and text) and place, from 0, of every line to delete."""
     split = docs.where(docs["text"].isNotNull()).select(_key(docs).alias("key"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(docs["text"], "\n", -1)).alias("at", "line"))
     spaces = F.length("line") - F.length(F.translate("line", " ", ""))
-    lines = cut(split.select("key", "doc", "at", F.xxhash64("line").alias("id"), F.when(F.trim("line") == "", 0).otherwise(spaces + 1).cast("long").alias("words")), "lines")
-    common = cut(lines.groupBy("id").count().where("count > 1").select("id"), "ids")
-    active = lines.join(common.hint("merge"), "id").repartition("key").dropDuplicates(["key", "at"])
+    words = F.when(F.trim("line") == "", 0).otherwise(spaces + 1).cast("long")
+    lines = cut(split.select("key", "doc", "at", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("other"), words.alias("words")), "lines")
+    common = _ranked(lines, "id", "other")
+    active = lines.join(common.hint("merge"), ["id", "other"]).drop("id", "other").withColumnRenamed("rank", "id")
+    active = active.repartition("key").dropDuplicates(["key", "at"])
 
     # Stretches of lines that all occur elsewhere, and in them the shortest runs with enough words.
     active = active.withColumn("stretch", F.col("at") - F.row_number().over(W.partitionBy("key").orderBy("at")))
@@ -62,23 +72,28 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     backward = active.where("first is not null").select("key", "doc", F.col("first").alias("s"), (F.col("at") - F.col("first") + 1).alias("n"))
     runs = forward.union(backward).distinct()
 
-    # Prefix doubling: names[t] is the name of the 2^t lines from here.
+    # Prefix doubling: element t of ranks is the rank of the 2^t lines from here, null where they occur nowhere else.
     longest = active.agg(F.max(F.greatest(F.col("last") - F.col("at"), F.col("at") - F.col("first"))) + 1).first()[0] or 1
     levels = int(longest).bit_length()
-    named, order = active.withColumn("name0", F.col("id")), W.partitionBy("key", "stretch").orderBy("at")
+    ranks = active.select("key", "at", "stretch", F.array("id").alias("ranks"))
     for t in range(1, levels):
-        other = F.lead(f"name{t - 1}", 1 << (t - 1)).over(order)
-        named = named.withColumn(f"name{t}", F.when(other.isNotNull(), F.xxhash64(F.col(f"name{t - 1}"), other)))
-    names = cut(named.select("key", "at", F.array(*(f"name{t}" for t in range(levels))).alias("names")), "names")
+        half = F.element_at("ranks", t)
+        pairs = ranks.withColumn("x", half).withColumn("y", F.lead(half, 1 << (t - 1)).over(W.partitionBy("key", "stretch").orderBy("at")))
+        pairs = pairs.withColumn("y", F.when(F.col("x").isNotNull(), F.col("y")))
+        made = _ranked(pairs, "x", "y")
+        longer = cut(pairs.join(made.hint("merge"), ["x", "y"], "left").select("key", "at", "stretch", F.concat("ranks", F.array("rank")).alias("ranks")), "suffixes")
+        discard(made, ranks)
+        ranks = longer
+    ranks = ranks.drop("stretch")
     runs = runs.withColumn("t", F.length(F.bin("n")) - 1)
-    runs = runs.join(names.withColumnRenamed("at", "s").withColumnRenamed("names", "left"), ["key", "s"]).withColumn("x", F.element_at("left", F.col("t") + 1)).drop("left")
+    runs = runs.join(ranks.withColumnRenamed("at", "s").withColumnRenamed("ranks", "left"), ["key", "s"]).withColumn("x", F.element_at("left", F.col("t") + 1)).drop("left").where("x is not null")
     runs = runs.withColumn("e", (F.col("s") + F.col("n") - F.pow(F.lit(2), "t")).cast("int"))
     if levels == 1:
         runs = runs.withColumn("y", F.col("x"))
     else:
-        runs = runs.join(names.withColumnRenamed("at", "e").withColumnRenamed("names", "right"), ["key", "e"]).withColumn("y", F.element_at("right", F.col("t") + 1)).drop("right")
+        runs = runs.join(ranks.withColumnRenamed("at", "e").withColumnRenamed("ranks", "right"), ["key", "e"]).withColumn("y", F.element_at("right", F.col("t") + 1)).drop("right").where("y is not null")
     runs = cut(runs.select("key", "doc", "s", "n", "x", "y"), "runs")
-    discard(names, active)
+    discard(ranks, active)
 
     # Intervals of the suffix array with a longest common prefix of n lines; all suffixes but the first are later copies.
     place = F.struct("doc", "key", "s")
@@ -87,20 +102,22 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     return later.select("key", F.explode(F.sequence(F.col("s"), (F.col("s") + F.col("n") - 1).cast("int"))).alias("at")).distinct()
 
 
-def deduplicated(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """The documents with later copies deleted, and _lines, _deleted: how many lines there were and how many went."""
-    gone = cut(repeated_lines(docs, min_words).groupBy("key").agg(F.collect_set("at").alias("gone")), "deleted")
-    key, split = "__line_dedup_key", F.split("text", "\n", -1)
-    both = docs.withColumn(key, _key(docs)).join(gone.select(F.col("key").alias(key), F.col("gone").alias("__gone")).hint("merge"), key, "left")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).when(F.size("__gone") == F.size(split), F.lit("")).otherwise(kept)
+def deduplicated(docs: DataFrame, min_words: int = 10, made: tuple[str, str] = ("_lines", "_deleted")) -> DataFrame:
+    """The documents with later copies deleted, and how many lines there were and how many went, named as `made` says."""
+    lost = cut(repeated_lines(docs, min_words).groupBy("key").agg(F.collect_set("at").alias("gone")), "deleted")
+    key, gone = fresh(docs, "line_dedup_key", "line_dedup_gone")
+    split, at = F.split("text", "\n", -1), F.col(gone)
+    both = docs.withColumn(key, _key(docs)).join(lost.select(F.col("key").alias(key), F.col("gone").alias(gone)).hint("merge"), key, "left")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(at, i)), "\n")
+    text = F.when(at.isNull(), F.col("text")).when(F.size(at) == F.size(split), F.lit("")).otherwise(kept)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    return both.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), lines.alias("_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("_deleted"))
+    old = [text.alias("text") if c == "text" else x for c, x in zip(docs.columns, columns(docs))]
+    return both.select(*old, lines.alias(made[0]), F.coalesce(F.size(at), F.lit(0)).cast("long").alias(made[1]))
 
 
 def op4_line_dedup(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """doc_id, n_lines, n_deleted, text without later copies."""
-    return deduplicated(docs.select("doc_id", "text"), min_words).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
+    return deduplicated(fit_columns(docs, "doc_id", "text"), min_words, ("n_lines", "n_deleted")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 #: The same in SQL, by comparing lists of lines; {words} is min_words.
