@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import os
@@ -34,6 +35,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_thread() -> None:
+    """Let numpy's matrix products in this process use one thread, as a task has one core; workers are told the executor's cores."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {x.split(maxsplit=5)[5].strip() for x in f if "openblas" in x}
+    except OSError:
+        return
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if put := getattr(lib, name, None):
+                put(1)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
     sc = spark.sparkContext

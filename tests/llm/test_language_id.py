@@ -90,3 +90,65 @@ def test_trigrams(texts):
     key = {int(i): int(k) for k, i in zip(p.keys, p.ids)}
     mask = (1 << 21) - 1
     assert [(int(r), "".join(chr(key[int(i)] >> s & mask) for s in (42, 21, 0))) for r, i in zip(row, tri)] == want
+
+
+def plain_prediction(text, prototypes, dimensions=1024):
+    """One text at a time, trigram by trigram."""
+    p = Profiles(dimensions)
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not low:
+        return "und", 0.0
+    padded = " " + " ".join(low) + " "
+    v = np.zeros(dimensions)
+    for i in range(len(padded) - 2):
+        if padded[i + 1] != " ":
+            x, y, z = (p.letters(np.array([ord(c)]))[0].astype(float) for c in padded[i : i + 3])
+            v += np.roll(x, 2) * np.roll(y, 1) * z
+    names = sorted(prototypes)
+    unit = {n: prototypes[n] / np.linalg.norm(prototypes[n]) for n in names}
+    shared = sum(unit.values())
+    shared = shared / np.linalg.norm(shared)
+    rest = v - (v @ shared) * shared
+    cosines = []
+    for n in names:
+        own = unit[n] - (unit[n] @ shared) * shared
+        cosines.append(own @ rest / np.linalg.norm(own) / np.linalg.norm(rest))
+    best = names[int(np.argmax(cosines))]
+    return best, min(1.0, max(0.0, float(v @ unit[best] / np.linalg.norm(v))))
+
+
+def test_predictions_equal_plain_ones(spark):
+    rows = made(80, 5) + [(900, None, "xa", "q"), (901, "!", None, "q"), (902, "É", None, "q")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    prototypes = learn(df)
+    got = {r.doc_id: r for r in op7_language_id(df).collect()}
+    for d, text, _, _ in rows:
+        lang, score = plain_prediction(text, prototypes)
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-6
+
+
+def test_memory_does_not_grow_with_trigrams():
+    """300,000 distinct trigrams stay within a bound, and the vectors that aren't held are the same."""
+    import resource
+
+    import pyarrow as pa
+
+    from obsq.llm.common import text_slices
+
+    p = Profiles(1024)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    r = random.Random(4)
+    for _ in range(6):
+        text = " ".join(chr(0x4E00 + r.randrange(20000)) + chr(0x4E00 + r.randrange(20000)) for _ in range(25000))
+        ((_, data, offsets),) = text_slices(pa.array([text]), 1 << 24)
+        row, tri = p.trigrams(data, offsets)
+        made = p.bundled(row, tri, None, 1, np.float32)
+        some = np.unique(tri)[-3:]
+        assert (p.of(some) == p.bound(p.code[some])).all() and made.shape == (1, 1024)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000  # KB
+
+
+def test_columns_with_the_names_of_ours(spark):
+    rows = [(1, "abc abc", "xa", 7, "p"), (2, None, "xb", 8, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _language_pred int, `_language_score` string")
+    assert identified(df).collect() == [r for r in df.collect() if r.doc_id == 1] or zlib.crc32(b"1") % 5 == 0
