@@ -91,9 +91,17 @@ def _arithmetic(o: Mapping) -> Column:
     return total * F.lit(float(o.get("total coefficient", 1.0))) + F.lit(float(o.get("intercept", 0.0)))
 
 
+#: The columns that wind functions read unless others are named.
+WIND = {"u": "ObsValue/windEastward", "v": "ObsValue/windNorthward", "hofx_u": "HofX/windEastward", "hofx_v": "HofX/windNorthward"}
+
+
+def wind(o: Mapping, *keys: str) -> list[Column]:
+    return [resolve(o.get(k, WIND[k])) for k in keys]
+
+
 @function("Velocity")
 def _velocity(o: Mapping) -> Column:
-    return F.hypot(resolve(o["eastward"]), resolve(o["northward"]))
+    return F.hypot(resolve(o.get("eastward", WIND["u"])), resolve(o.get("northward", WIND["v"])))
 
 
 def direction(u: Column, v: Column) -> Column:
@@ -110,7 +118,7 @@ def angle_between(a: Column, b: Column) -> Column:
 @function("WindDirAngleDiff")
 def _angle(o: Mapping) -> Column:
     """0 where either wind is slower than minimum_uv."""
-    u, v, p, q = (resolve(o[k]) for k in ("u", "v", "hofx_u", "hofx_v"))
+    u, v, p, q = wind(o, *WIND)
     slow = F.least(F.hypot(u, v), F.hypot(p, q)) < float(o.get("minimum_uv", 1e-4))
     return F.when(slow, 0.0).otherwise(angle_between(direction(u, v), direction(p, q)))
 
@@ -118,30 +126,92 @@ def _angle(o: Mapping) -> Column:
 @function("SatWindsErrnormCheck")
 def _errnorm(o: Mapping) -> Column:
     """(10 - 0.1 * expected error) / speed; 100 for speeds under 0.1."""
-    speed = F.hypot(resolve(o["u"]), resolve(o["v"]))
-    return F.when(speed < 0.1, 100.0).otherwise((10.0 - 0.1 * resolve(o["expected error"])) / speed)
+    speed = F.hypot(*wind(o, "u", "v"))
+    return F.when(speed < 0.1, 100.0).otherwise((10.0 - 0.1 * resolve(o.get("expected error", "MetaData/expectedError"))) / speed)
+
+
+@function("ScatWindsAmbiguityCheck")
+def _ambiguity(o: Mapping) -> Column:
+    """How much farther the wind is from the simulated one than its opposite is; 0 where it is slower than minimum_uv."""
+    u, v, p, q = wind(o, *WIND)
+    farther = F.hypot(u - p, v - q) - F.hypot(u + p, v + q)
+    return F.when(F.hypot(u, v) < float(o.get("minimum_uv", 1e-4)), 0.0).otherwise(farther)
 
 
 @function("WindsSPDBCheck")
 def _spdb(o: Mapping) -> Column:
-    """cgross times the error, held between error_min and error_max, by observation type."""
-    kind, err = resolve(o["type"]), resolve(o["error"])
+    """cgross times the error, held between error_min and error_max, by observation type.
+
+    With `variable` alone, type and error are that variable's columns, and the threshold is SLOW times as large where the
+    wind is slower than the simulated one.
+    """
+    name = o.get("variable")
+    kind, err = resolve(o.get("type", f"ObsType/{name}")), resolve(o.get("error", f"Err/{name}"))
     out = F.lit(None).cast("double")
-    rows = list(zip(int_set(o["wndtype"]), o["cgross"], o["error_min"], o["error_max"]))
+    rows = list(zip(int_set(o["wndtype"]), o["cgross"], o["error_min"], o["error_max"], strict=True))
     for k, cgross, low, high in reversed(rows):
         out = F.when(kind == k, float(cgross) * F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), err))).otherwise(out)
-    return out
+    if name is None:
+        return out
+    u, v, p, q = wind(o, *WIND)
+    return out * F.when(F.hypot(u, v) < F.hypot(p, q), float(o.get("speed bias factor", SLOW))).otherwise(1.0)
+
+
+#: A decision of ours: how much tighter the speed check is for winds that are too slow.
+SLOW = 0.7
+
+# Functions whose values come from profiles, retrievals or coefficients that aren't here: the input has them as columns,
+# `Factor/<function>`, followed by `_<variable>` or `_<type>` where one is named; `column` names another. With each, the
+# options that it may have.
+SUPPLIED = {
+    "ObsErrorFactorPressureCheck": "variable, inflation factor, surface_obs, SetSfcWndObsHeight, AddObsHeightToStationElevation, AssumedSfcWndObsHeight, request_saturation_specific_humidity_geovals, geovar_sfc_geomz, adjusted_error_name, original_obserr",
+    "ObsErrorFactorSfcPressure": "geovar_geomz, geovar_sfc_geomz, station_altitude, error_min, error_max, original_obserr",
+    "ObsErrorFactorConventional": "inflate variables, pressure, test QCflag, test QCthreshold, distance threshold",
+    "ObsErrorFactorDuplicateCheck": "use_air_pressure, variable",
+    "CLWRetMW": "clwret_ch238, clwret_ch314, clwret_ch37v, clwret_ch37h, clwret_types, bias_application, test_bias",
+    "SCATRetMW": "scatret_ch238, scatret_ch314, scatret_ch890, scatret_types, bias_application, test_bias",
+    "HydrometeorCheckATMS": "channels, obserr_clearsky, clwret_function, obserr_function",
+    "HydrometeorCheckAMSUA": "channels, obserr_clearsky, clwret_function, obserr_function",
+    "ObsErrorFactorTopoRad": "channels, sensor",
+    "ObsErrorFactorTransmitTopRad": "channels, sensor",
+    "ObsErrorFactorSurfJacobianRad": "channels, sensor, obserr_demisf, obserr_dtempf, use_biasterm, test_biasterm",
+    "ObsErrorFactorSituDependMW": "channels, sensor, clwbkg_function, clwobs_function, scatobs_function, clwmatchidx_function, obserr_function, obserr_clearsky",
+    "ObsErrorFactorLatRad": "latitude_parameters",
+    "ObsErrorBoundMW": "channels, sensor, obserr_bound_latitude, obserr_bound_transmittop, obserr_bound_topo, obserr_function, threhold, threshold, obserr_bound_max",
+    "InterChannelConsistencyCheck": "channels, sensor, use passive_bc, use_flag",
+}
+
+
+def _supplied(name: str, keys: frozenset[str]) -> Callable[[Mapping], Column]:
+    def read(o: Mapping) -> Column:
+        if unknown := set(o) - keys:
+            raise KeyError(f"{name}: unknown options {sorted(unknown)}")
+        types = next((o[k] for k in ("clwret_types", "scatret_types") if k in o), None)
+        part = o.get("variable", types[0] if types else None)
+        return resolve(o.get("column", f"Factor/{name}" + (f"_{part}" if part else "")))
+
+    return read
+
+
+for _name, _keys in SUPPLIED.items():
+    FUNCTIONS[_name] = _supplied(_name, frozenset(_keys.split(", ")) | {"column"})
 
 
 @function("CLWRetSymmetricMW")
 def _symmetric(o: Mapping) -> Column:
+    """The mean of what is retrieved from what was observed and from what was simulated."""
+    if "clwret_types" in o:
+        pair = [FUNCTIONS["CLWRetMW"](dict(o) | {"clwret_types": [t]}) for t in o["clwret_types"]]
+        if len(pair) != 2:
+            raise ValueError("CLWRetSymmetricMW: two types, observed and simulated")
+        return 0.5 * (pair[0] + pair[1])
     return 0.5 * (resolve(o["observed"]) + resolve(o["simulated"]))
 
 
 @function("CLWMatchIndexMW")
 def _match(o: Mapping) -> Column:
     """1 where both lie on the same side of the clear-sky threshold, for each channel's threshold."""
-    a, b = resolve(o["observed"]), resolve(o["simulated"])
+    a, b = (resolve(o[k] if k in o else o[f]) for k, f in (("observed", "clwobs_function"), ("simulated", "clwbkg_function")))
     return F.array(*(F.when((a > t) == (b > t), 1.0).otherwise(0.0) for t in map(float, o["clwret_clearsky"])))
 
 

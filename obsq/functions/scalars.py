@@ -144,3 +144,12 @@ def to_isotime(t: datetime) -> str:
 
 def to_model_time(t: datetime) -> str:
     return t.strftime("%Y%m%d.%H%M%S")
+
+
+def radians(degrees: Column) -> Column:
+    return F.radians(degrees)
+
+
+def filled(value, kind: str = "float") -> Column:
+    """A constant of a kind in every row."""
+    return F.lit(value).cast(kind)

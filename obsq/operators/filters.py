@@ -177,6 +177,19 @@ def _flags(space: ObsSpace, spec: Mapping) -> ObsSpace:
     return space.with_columns(new)
 
 
+@whole("Print Filter Data", "message", "variables", "summary")
+def _print(space: ObsSpace, spec: Mapping) -> ObsSpace:
+    """The space as it is; what would be printed is a table of filter_data()."""
+    return space
+
+
+def filter_data(space: ObsSpace, spec: Mapping):
+    """Location and the named variables of the rows where the filter's condition holds."""
+    names = [v["variable"] if isinstance(v, Mapping) else v for v in spec["variables"]]
+    on = where(spec.get("where"), spec.get("where operator", "and"), resolve)
+    return space.df.where(on).select(space.location, *(resolve(n).alias(n) for n in names))
+
+
 @whole("Variable Transforms", "Transform", "SkipWhenNoObs", "source", "name")
 def _transform(space: ObsSpace, spec: Mapping) -> ObsSpace:
     """The registered transform's column; those that need a model's factors read them as a column."""

@@ -50,6 +50,52 @@ def composite(df: DataFrame, parts: Mapping[str, Column]) -> DataFrame:
     return df.select("*", *(c.alias(f"HofX/{v}") for v, c in parts.items()))
 
 
+@hop("SfcCorrected")
+def surface_corrected(field: Column, height: Column, station: Column, lapse: float = 0.0065) -> Column:
+    """A surface field carried from the model's height to the station's along a lapse rate for each metre."""
+    return field + (height - station) * lapse
+
+
+@hop("SfcPCorrected")
+def surface_pressure_corrected(pressure: Column, temperature: Column, height: Column, station: Column, lapse: float = 0.0065) -> Column:
+    """Surface pressure carried to the station's height through a layer of constant lapse rate (hypsometric equation)."""
+    g, r = 9.80665, 287.05
+    return pressure * F.pow((temperature + (height - station) * lapse) / temperature, F.lit(g / (r * lapse)))
+
+
+def operator_of(spec: Mapping, simulated: Sequence[str]) -> dict[str, Column]:
+    """What an observation operator's configuration simulates: a column for each variable.
+
+    Fields of the model are columns `GeoVaLs/<v>`; profiles are arrays, and so are their levels. A variable's field has
+    its own name, or that of `alias`. Composite has operators, each for its own variables.
+    """
+    name = spec["name"]
+    if name == "Composite":
+        out: dict[str, Column] = {}
+        for part in spec["components"]:
+            out |= operator_of(part, [v["name"] if isinstance(v, Mapping) else v for v in part.get("variables", simulated)])
+        return out
+    if name not in HOPS:
+        raise KeyError(f"unknown observation operator {name!r}; there are {sorted(HOPS)}")
+    alias, made = spec.get("alias", {}), {}
+    for v in simulated:
+        field = F.col(f"`GeoVaLs/{alias.get(v, v)}`")
+        if name == "Identity":
+            made[v] = identity(field)
+        elif name == "VertInterp":
+            levels, at = (F.col(f"`{x}`") for x in (f"GeoVaLs/{spec.get('vertical coordinate', 'air_pressure')}", f"{spec.get('observation vertical coordinate group', 'MetaData')}/{spec.get('observation vertical coordinate', 'pressure')}"))
+            made[v] = vert_interp(field, levels, at, spec.get("interpolation method", "linear"))
+        elif name == "AtmVertInterpLay":
+            made[v] = layer_sum(field, F.col(f"`GeoVaLs/{spec['thickness']}`"), float(spec.get("coefficient", 1.0)))
+        elif name == "SfcPCorrected":
+            made[v] = surface_pressure_corrected(field, *(F.col(f"`{c}`") for c in ("GeoVaLs/surface_temperature", "GeoVaLs/surface_height", "MetaData/stationElevation")))
+        else:
+            made[v] = surface_corrected(field, F.col("`GeoVaLs/surface_height`"), F.col("`MetaData/stationElevation`"), float(spec.get("lapse rate", 0.0065)))
+        if factor := spec.get("hofx scaling field"):
+            made[v] = made[v] * F.col(f"`{spec.get('hofx scaling field group', 'MetaData')}/{factor}`")
+    return made
+
+
 def bias(predictors: Sequence[Column], coefficients: Sequence[Column | float]) -> Column:
     """The sum of coefficient times predictor."""
     if len(predictors) != len(coefficients):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,3 +55,22 @@ def histogram(df: DataFrame, x: Column, low: float, high: float, bins: int = 100
 
 def regression(df: DataFrame, by: Sequence[str], x: Column, y: Column, digits: int = 6) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.regr_slope(y, x), digits).alias("slope"), F.round(F.regr_intercept(y, x), digits).alias("intercept"))
+
+
+def arithmetic(df: DataFrame, new: str, expression: str, names: dict[str, str]) -> DataFrame:
+    """A column from an expression over other columns, each by a name of its own: "a - b" with names of a and b."""
+    inner = df.select("*", *(F.col(f"`{c}`").alias(n) for n, c in names.items()))
+    return inner.select("*", F.expr(expression).alias(new)).drop(*names)
+
+
+def accept_where(df: DataFrame, new: str, source: str, conditions: list[str]) -> DataFrame:
+    """A column with the source's values where every condition holds, and null elsewhere. Conditions name columns in backquotes."""
+    on = reduce(operator.and_, (F.expr(c) for c in conditions))
+    return df.withColumn(new, F.when(on, F.col(f"`{source}`")))
+
+
+def for_each(df: DataFrame, transform, **lists) -> DataFrame:
+    """A transform once for each element of lists of equal length, one column after another."""
+    for values in zip(*lists.values(), strict=True):
+        df = transform(df, **dict(zip(lists, values)))
+    return df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,10 +89,24 @@ def transformed(c: Column, steps: Sequence[Mapping] | None) -> Column:
     return c
 
 
+TOP = {"exports", "outputs", "subsets", "dimensions"}
+
+
+def dimensions(df: DataFrame, spec: Mapping) -> DataFrame:
+    """dimension and size, a row for each of the mapping's dimensions: Location, and the length of those with a path."""
+    made = [df.agg(F.lit("Location").alias("dimension"), F.count("*").alias("size"))]
+    for d in spec.get("dimensions") or ():
+        made.append(df.agg(F.lit(d["name"]).alias("dimension"), F.coalesce(F.max(F.size(first_of(df.schema, d["path"]))), F.lit(0)).cast("long").alias("size")))
+    return reduce(DataFrame.unionAll, made)
+
+
 def compile_mapping(df: DataFrame, spec: Mapping) -> DataFrame:
     """The output columns of a mapping: exports by name, then columns with their names, units and ranges as metadata."""
     export = spec["exports"]
-    if keep := spec.get("subsets"):
+    for part, allowed in ((spec, TOP), (export, {"group_by_variable", "subsets", "variables"})):
+        if unknown := set(part) - allowed:
+            raise KeyError(f"unknown keys in a mapping: {sorted(unknown)}; there are {sorted(allowed)}")
+    if keep := [*(export.get("subsets") or ()), *(spec.get("subsets") or ())]:
         df = df.where(F.col("subset").isin(list(keep)))
     if by := export.get("group_by_variable"):
         df = flatten(df, export["variables"][by]["query"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from obsq.operators import filters
+from obsq.operators import filters, hops
 from obsq.operators.space import ObsSpace
 
 STAGES = {"obs pre filters": "pre", "obs prior filters": "prior", "obs filters": "prior", "obs post filters": "post"}
@@ -61,7 +61,9 @@ def dispatch(name: str, *args, **kwargs):
 
 @application("hofx4d")
 def hofx(space: ObsSpace, observer: Mapping, iteration: int = 0) -> ObsSpace:
-    """Quality control of a space with what was simulated, and its departures."""
+    """What the observer's operator simulates, if it names one, then quality control and departures."""
+    if operator := observer.get("obs operator"):
+        space = space.with_columns({f"HofX/{v}": c for v, c in hops.operator_of(operator, space.variables).items()})
     done = Pipeline.of(observer).run(space, iteration)
     return done.with_columns({f"ombg/{v}": done.departure(v) for v in done.variables})
 

@@ -238,3 +238,46 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = files.read_space(spark, f"{tmp_path}/t", ["ObsValue/x"], ["A"])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(subset,A)" in plan or "In(subset" in plan
     assert "other" not in plan
+
+
+#: Functions with the options that configurations give them.
+FORMS = [
+    ("ObsErrorFactorPressureCheck", {"variable": "airTemperature", "inflation factor": 8.0}), ("ObsErrorFactorPressureCheck", {"variable": "windEastward", "inflation factor": 4.0, "SetSfcWndObsHeight": True, "AddObsHeightToStationElevation": True, "AssumedSfcWndObsHeight": 10}),
+    ("ObsErrorFactorSfcPressure", {"geovar_geomz": "z", "geovar_sfc_geomz": "s"}), ("ObsErrorFactorConventional", {"inflate variables": ["windEastward"], "pressure": "MetaData/pressure"}), ("ObsErrorFactorDuplicateCheck", {}),
+    ("CLWRetMW", {"clwret_ch238": 1, "clwret_ch314": 2, "clwret_types": ["ObsValue"]}), ("SCATRetMW", {"scatret_ch238": 1, "scatret_ch314": 2, "scatret_ch890": 16, "scatret_types": ["ObsValue"], "bias_application": "HofX"}),
+    ("CLWRetSymmetricMW", {"clwret_ch238": 1, "clwret_ch314": 2, "clwret_types": ["ObsValue", "HofX"], "bias_application": "HofX"}), ("HydrometeorCheckATMS", {"channels": "1-22", "obserr_clearsky": [1.0], "clwret_function": {}, "obserr_function": {}}),
+    ("HydrometeorCheckAMSUA", {"channels": "1-15"}), ("ObsErrorFactorTopoRad", {"channels": "1-22", "sensor": "atms"}), ("ObsErrorFactorTransmitTopRad", {"channels": "1-22"}), ("ObsErrorFactorSurfJacobianRad", {"channels": "1-22", "sensor": "atms", "obserr_demisf": [0.01], "obserr_dtempf": [0.5]}),
+    ("ObsErrorFactorSituDependMW", {"channels": "1-22", "sensor": "atms", "clwbkg_function": {}, "obserr_clearsky": [1.0]}), ("ObsErrorFactorLatRad", {"latitude_parameters": [25.0, 0.25, 0.04, 3.0]}), ("ObsErrorBoundMW", {"channels": "1-22", "sensor": "atms", "threhold": 3, "obserr_bound_max": [1.0]}),
+    ("InterChannelConsistencyCheck", {"channels": "1-22", "sensor": "atms", "use_flag": [1], "use passive_bc": True}), ("WindsSPDBCheck", {"wndtype": [220], "cgross": [10.0], "error_min": [1.4], "error_max": [6.1], "variable": "windEastward"}),
+    ("Velocity", {}), ("WindDirAngleDiff", {}), ("SatWindsErrnormCheck", {}), ("ScatWindsAmbiguityCheck", {"minimum_uv": 0.0001}),
+]
+
+
+@pytest.mark.parametrize("name,options", FORMS)
+def test_functions_as_configurations_write_them(spark, name, options):
+    from obsq.functions.named import SUPPLIED, resolve
+
+    assert resolve({"name": f"ObsFunction/{name}", "options": options}) is not None
+    assert resolve({"name": f"{name}@ObsFunction", "options": options}) is not None
+    if name in SUPPLIED:
+        with pytest.raises(KeyError):
+            resolve({"name": f"ObsFunction/{name}", "options": options | {"no such": 1}})
+
+
+def test_unknown_keys_of_exports(spark):
+    from obsq.plans.mapping import compile_mapping
+
+    df = spark.createDataFrame([(1, "A")], "ID int, subset string")
+    spec = {"exports": {"variables": {"id": {"query": "*/ID"}}}, "outputs": [{"name": "i", "source": "variables/id"}]}
+    assert compile_mapping(df, spec | {"exports": spec["exports"] | {"subsets": ["B"]}}).count() == 0
+    with pytest.raises(KeyError):
+        compile_mapping(df, spec | {"exports": spec["exports"] | {"subset": ["B"]}})
+
+
+def test_unknown_operators_are_errors(spark):
+    from obsq.operators.hops import operator_of
+
+    with pytest.raises(KeyError):
+        operator_of({"name": "CRTM"}, ["x"])
+    made = operator_of({"name": "SfcPCorrected"}, ["p"]) | operator_of({"name": "SfcCorrected"}, ["t"]) | operator_of({"name": "AtmVertInterpLay", "thickness": "d"}, ["o"])
+    assert sorted(made) == ["o", "p", "t"]
