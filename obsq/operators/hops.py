@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,10 +32,22 @@ def vert_interp(values: Column, levels: Column, at: Column, method: str = "linea
     if method not in ("linear", "log-linear"):
         raise ValueError(f"interpolation method {method!r}")
     pairs = F.array_sort(F.filter(F.arrays_zip(levels.alias("l"), values.alias("v")), lambda p: p["l"].isNotNull() & p["v"].isNotNull()))
-    below, above = F.filter(pairs, lambda p: p["l"] <= at), F.filter(pairs, lambda p: p["l"] > at)
-    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
-    weight = (log(at) - log(lo["l"])) / (log(hi["l"]) - log(lo["l"]))
-    return F.when(at.isNull(), None).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + weight * (hi["v"] - lo["v"]))
+
+    def ends(ps: Column) -> Column:
+        lo, hi = F.try_element_at(F.filter(ps, lambda p: p["l"] <= at), F.lit(-1)), F.try_element_at(F.filter(ps, lambda p: p["l"] > at), F.lit(1))
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def between(x: Column) -> Column:
+        lo, hi = x["lo"], x["hi"]
+        weight = (log(at) - log(lo["l"])) / (log(hi["l"]) - log(lo["l"]))
+        return F.when(at.isNull(), None).when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + weight * (hi["v"] - lo["v"]))
+
+    return bound(bound(pairs, ends), between)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 @hop("AtmVertInterpLay")
