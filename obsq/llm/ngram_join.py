@@ -8,8 +8,10 @@ that leave one half out gives signatures (what a set has in a half) of which suc
 more than that takes, so that some signatures can be left out: those with the fewest elements, in an order that depends
 on the signature alone, so that both sets still keep a shared one. What is left says enough to tell unlike sets apart.
 
-Sets with a signature in common are compared exactly: first with the member of each group that shares most with others,
-then, where a group isn't yet one component, the rest, in blocks. Copies of a set are one node from the start.
+Sets with a signature in common are compared exactly, unless a sketch shows that they differ in too much: it counts a set's
+elements in bins, and the counts of two sets never differ by more than the sets do. Each is compared first with the member
+of its group that shares most with others, then, where a group isn't yet one component, with the rest, in blocks. Elements
+are made again for the sets that come that far. Copies of a set are one node from the start.
 
 Defined cases: null or blank text has an empty set and is linked with nothing; a text with fewer words than n has its
 whole word sequence as one element; repeated rows are copies of each other; a null doc_id keeps its row, and is the
@@ -21,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,50 +133,63 @@ def _lists(rows_kept: np.ndarray, at: np.ndarray, values: np.ndarray, rows: int)
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(signed(values[take])))
 
 
-def in_common(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray, cells: int = 1 << 23) -> np.ndarray:
-    """How many values lists a and lists b share, for each pair; values that only one list has don't enter the product."""
-    n = np.array([len(x) for x in lists])
-    out = np.zeros((len(a), len(b)), np.float32)
-    if not n.sum():
-        return out
-    value, which, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(lists)), n)
-    taken = np.flatnonzero(count > 1)
-    rank = np.full(len(value), -1)
-    rank[taken] = np.arange(len(taken))
-    column = rank[which]
-    step = max(1, cells // len(lists))
-    for lo in range(0, len(taken), step):
-        here = (column >= lo) & (column < lo + step)
-        m = np.zeros((len(lists), min(step, len(taken) - lo)), np.float32)
-        m[row[here], column[here] - lo] = 1
-        out += m[a] @ m[b].T
-    return out
+def sketches(rows_kept: np.ndarray, at: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
+    """For some rows, how many elements fall into each of about half as many bins, a byte each; null if a byte can't hold it."""
+    size = np.bincount(at, minlength=rows)
+    bins = np.zeros(rows, np.int64)
+    bins[rows_kept] = 1 << np.clip(np.ceil(np.log2(np.maximum(size[rows_kept], 2) / 2)), 6, 12).astype(np.int64)
+    base = np.cumsum(bins) - bins
+    taken = np.flatnonzero(bins[at])
+    row = at[taken]
+    place = base[row] + (mix(h[taken] ^ _SALT[13]) & (bins[row] - 1).astype(U64)).astype(np.int64)
+    count = np.bincount(place, minlength=int(bins.sum()))
+    over = np.zeros(rows, bool)
+    over[np.repeat(np.arange(rows), bins)[count > 255]] = True
+    values = [None if over[r] else count[base[r] : base[r] + bins[r]].astype(np.uint8).tobytes() for r in rows_kept.tolist()]
+    return pa.array(values, pa.binary())
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, the differences of two tables of sketches, the wider one folded: at most the sets' symmetric difference."""
+    least = min(x.shape[1], y.shape[1])
+    x, y = (z.astype(np.int32).reshape(len(z), -1, least).sum(1) for z in (x, y))
+    return np.abs(x - y).sum(1)
 
 
 class JaccardJoin:
     """The steps of the join over a table of documents; link() runs them."""
 
-    #: Groups of at most FEW unresolved members are compared pair by pair; larger ones in blocks of up to BLOCK.
-    FEW = 64
+    #: Groups of at most FEW members give pairs; of larger ones, blocks of up to BLOCK are compared by sketches first.
+    FEW = 4
     BLOCK = 512
 
     def __init__(self, docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> None:
         self.spark = ship(docs.sparkSession)
         self.docs, self.n, self.num, self.den = fit_columns(docs, "doc_id", "text"), n, num, den
         self.scheme = Scheme(num, den)
+        self.written: DataFrame | None = None
 
     def sizes(self) -> DataFrame:
-        """doc_id, n_shingles, node (null for an empty set) of every row."""
+        """doc_id, n_shingles, node (null for an empty set), sketch, and text_key (a hash of the text) of every row."""
         n = self.n
 
         def run(batches):
             for b in batches:
                 for first, rows, at, h in shingle_sets(b.column(1), n):
                     size, key = _set_keys(rows, at, h)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(size), pa.array(key, mask=size == 0)], names=["doc_id", "n_shingles", "node"])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(first, rows), pa.array(size), pa.array(key, mask=size == 0), sketches(np.arange(rows), at, h, rows), b.column(2).slice(first, rows)],
+                        names=["doc_id", "n_shingles", "node", "sketch", "text_key"],
+                    )
 
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+        rows = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+        return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, text_key long")
+
+    def rows(self) -> DataFrame:
+        """sizes(), written once."""
+        if self.written is None:
+            self.written = cut(self.sizes(), "sizes")
+        return self.written
 
     def _signatures(self) -> DataFrame:
         n, scheme = self.n, self.scheme
@@ -206,75 +222,100 @@ class JaccardJoin:
 
         return self.docs.mapInArrow(run, "key long, node long").distinct()
 
-    def _sets(self, known: Bloom) -> DataFrame:
-        """node, elements of the nodes in a bit table, and few others."""
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """node, elements of the nodes in `wanted`, and few others; texts that aren't needed are passed over by their hash."""
         n = self.n
-        shared = self.spark.sparkContext.broadcast(known.words)
+        texts = cut(self.rows().where("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted.hint("merge"), "node", "left_semi").select("text_key"), "texts")
+        shared = self.spark.sparkContext.broadcast(Bloom.of(texts, texts.count()).words)  # bounded by Bloom.MOST_BITS
 
         def run(batches):
             bloom = Bloom(shared.value)
             for b in batches:
-                for _, rows, at, h in shingle_sets(b.column(1), n):
+                some = b.column(0).filter(pa.array(bloom.has(b.column(1).to_numpy())))
+                for _, rows, at, h in shingle_sets(some, n):
                     size, node = _set_keys(rows, at, h)
-                    kept = np.flatnonzero(bloom.has(node) & (size > 0))
-                    kept = kept[np.unique(node[kept], return_index=True)[1]]
+                    kept = np.flatnonzero(size > 0)
+                    kept = np.sort(kept[np.unique(node[kept], return_index=True)[1]])
                     yield pa.RecordBatch.from_arrays([pa.array(node[kept]), _lists(kept, at, h, rows)], names=["node", "elements"])
 
-        return self.docs.mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
+        rows = self.docs.where("text is not null").select("text", F.xxhash64("text").alias("text_key"))
+        return cut(rows.mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"]), "sets")
 
-    def _similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def _near(self, pairs: DataFrame, light: DataFrame) -> DataFrame:
+        """Pairs (a, b) without those that sizes and sketches show to differ in too much; no similar pair is left out."""
+        num, den = self.num, self.den
+        left, right = (light.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        both = both.where((den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).select("a", "b", "na", "nb", "sa", "sb")
+
+        def table(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+            off = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][rows]
+            return np.frombuffer(column.buffers()[2], np.uint8)[off[:, None] + np.arange(width)[None, :]]
+
+        def run(batches):
+            for b in batches:
+                most = (b.column(2).to_numpy() + b.column(3).to_numpy()) * (den - num) // (den + num)
+                x, y = b.column(4), b.column(5)
+                wide, high = (pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in (x, y))
+                keep = (wide == 0) | (high == 0)
+                for w, v in {*zip(wide[~keep].tolist(), high[~keep].tolist())}:
+                    rows = np.flatnonzero((wide == w) & (high == v))
+                    for lo in range(0, len(rows), 1024):
+                        some = rows[lo : lo + 1024]
+                        keep[some] = sketch_distance(table(x, some, w), table(y, some, v)) <= most[some]
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+        return both.mapInArrow(run, "a long, b long")
+
+    def _similar(self, pairs: DataFrame, light: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that are similar enough."""
+        pairs = cut(self._near(pairs, light), "near")
+        release(self.spark)
+        sets = self._sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        release(self.spark)
         left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-        both = small(pairs).join(left, "a").join(right, "b")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return both.where(self.den * common >= self.num * (F.size("x") + F.size("y") - common)).select("a", "b")
+        out = cut(both.where(self.den * common >= self.num * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+        discard(pairs, sets)
+        release(self.spark)
+        return out
 
-    def _within(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between members(key, node, component, size) of large groups, each pair of blocks in a task of its own.
+    def _within(self, members: DataFrame, light: DataFrame) -> DataFrame:
+        """Pairs of members(key, node, component, size) of larger groups that sizes and sketches don't tell apart.
 
-        Two members are compared under the first key they have in common.
+        Each pair of blocks of a group is compared in a task of its own, and only what is left of it comes out.
         """
         num, den = self.num, self.den
         blocks = F.ceil(F.col("size") / self.BLOCK).cast("int")
-        keys = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
         rows = members.select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks.cast("long")).cast("int").alias("own"))
-        rows = rows.join(sets.select("node", "elements").join(keys, "node"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "elements", "keys")
+        rows = rows.join(light.hint("merge"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "sketch")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            i, j, key = pdf["i"].iat[0], pdf["j"].iat[0], pdf["key"].iat[0]
-            own, node, top = pdf["own"].to_numpy(), pdf["node"].to_numpy(), pdf["component"].to_numpy()
-            size = pdf["elements"].map(len).to_numpy()
+            i, j = pdf["i"].iat[0], pdf["j"].iat[0]
+            own, node, top, n = (pdf[c].to_numpy() for c in ("own", "node", "component", "n_shingles"))
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
             open_ = top[a][:, None] != top[b][None, :]
             if i == j:
                 open_ &= node[a][:, None] < node[b][None, :]
-            low, high = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
-            open_ &= den * low >= num * high
-            open_ &= in_common([k[k < key] for k in pdf["keys"]], a, b) == 0
+            open_ &= den * np.minimum(n[a][:, None], n[b][None, :]) >= num * np.maximum(n[a][:, None], n[b][None, :])
             x, y = np.nonzero(open_)
-            if not len(x):
-                return pd.DataFrame([], columns=["a", "b"], dtype="int64")
-            use = np.zeros(len(pdf), bool)
-            use[a[x]] = use[b[y]] = True
-            elements = [e if u else e[:0] for e, u in zip(pdf["elements"], use)]
-            common = in_common(elements, a, b)[x, y]
-            good = den * common >= num * (size[a[x]] + size[b[y]] - common)
-            root: dict[int, int] = {}
-
-            def find(v):
-                while root.get(v, v) != v:
-                    v = root[v]
-                return v
-
-            found = []
-            for u, v in zip(a[x[good]].tolist(), b[y[good]].tolist()):
-                p, q = find(top[u]), find(top[v])
-                if p != q:
-                    root[p] = q
-                    found.append((node[u], node[v]))
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            x, y = a[x], b[y]
+            width = np.array([len(s) if s is not None else 0 for s in pdf["sketch"]])
+            place, tables = np.zeros(len(pdf), np.int64), {}
+            for w in np.unique(width[width > 0]).tolist():
+                of = np.flatnonzero(width == w)
+                place[of] = np.arange(len(of))
+                tables[w] = np.frombuffer(b"".join(pdf["sketch"].iloc[of]), np.uint8).reshape(len(of), w)
+            most, keep = (n[x] + n[y]) * (den - num) // (den + num), (width[x] == 0) | (width[y] == 0)
+            for w, v in {*zip(width[x[~keep]].tolist(), width[y[~keep]].tolist())}:
+                rows = np.flatnonzero((width[x] == w) & (width[y] == v))
+                for lo in range(0, len(rows), 1024):
+                    some = rows[lo : lo + 1024]
+                    keep[some] = sketch_distance(tables[w][place[x[some]]], tables[v][place[y[some]]]) <= most[some]
+            return pd.DataFrame({"a": np.minimum(node[x], node[y])[keep], "b": np.maximum(node[x], node[y])[keep]})
 
         return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
@@ -283,34 +324,36 @@ class JaccardJoin:
         counted = cut(self._signatures().groupBy("key").count().where("count > 1").select("key"), "signatures")
         release(self.spark)
         held = cut(self._hits(Bloom.of(counted, counted.count())), "hits")
-        groups = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        members = cut(held.join(groups, "key"), "members")
+        # Of groups with the same members one is enough; members are told apart by 128 bits of hash.
+        same = (F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(7, node))").alias("y"))
+        groups = held.groupBy("key").agg(F.count("*").alias("size"), *same).where("size > 1")
+        groups = groups.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).drop("x", "y")
+        members = cut(held.join(groups.hint("merge"), "key"), "members")
         discard(counted, held)
         nodes = cut(members.select("node").distinct(), "nodes")
-        sets = cut(self._sets(Bloom.of(nodes, nodes.count())), "sets")
+        light = cut(self.rows().select("node", "n_shingles", "sketch").join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "light")
         release(self.spark)
-        score = members.groupBy("node").agg(F.sum("size").alias("score"))
+        score = members.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("score"))
         centre = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
         tried = cut(members.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "tried")
-        found = cut(self._similar(tried, sets), "links")
-        release(self.spark)
+        found = self._similar(tried, light)
         component = components(found)
         placed = members.join(component, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         rest = cut(placed.join(open_, "key"), "rest")
         a, b = rest.where(F.col("size") <= self.FEW).alias("a"), rest.alias("b")
-        apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        apart = cut(apart.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
-        more = self._similar(apart, sets).union(self._within(rest.where(F.col("size") > self.FEW), sets))
-        out = cut(found.union(more), "links")
+        few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        many = self._within(rest.where(F.col("size") > self.FEW), light)
+        apart = cut(few.union(many).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "apart")
+        release(self.spark)
+        out = cut(found.union(self._similar(apart, light)), "links")
         self.figures = {x.cut_path.rsplit("/", 1)[1].split("-")[1]: x for x in (members, tried, found, rest, apart)}
         release(self.spark)
         return out
 
     def link(self) -> DataFrame:
         """doc_id, n_shingles, component_id (null for a null doc_id alone), node of every row."""
-        docs = cut(self.sizes(), "sizes")
-        part = components(self.links())
+        docs, part = self.rows().select("doc_id", "n_shingles", "node"), components(self.links())
         nodes = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         top = nodes.join(part, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
         lowest = top.groupBy("component").agg(F.min("least").alias("component_id"))

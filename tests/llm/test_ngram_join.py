@@ -126,3 +126,21 @@ def test_words_that_clash_in_polynomial_hashes(spark):
     rows = [(1, a), (2, b), (3, f"{a} one two three"), (4, f"{b} one two three")]
     got = op3_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    from obsq.llm.ngram_join import sketch_distance, sketches
+
+    r = np.random.default_rng(3)
+    for n in (1, 5, 60, 200, 900, 9000):
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for part in (0.0, 0.1, 0.3, 1.0):
+            b = a.copy()
+            b[: int(n * part)] = r.integers(0, 1 << 63, int(n * part)).astype(np.uint64)
+            b = np.unique(b[: max(1, int(n * r.uniform(0.5, 1)))])
+            at = np.repeat([0, 1], [n, len(b)])
+            made = [np.frombuffer(x.as_py(), np.uint8)[None, :] for x in sketches(np.arange(2), at, np.concatenate((np.sort(a), b)), 2)]
+            far = len(set(a.tolist()) ^ set(b.tolist()))
+            assert sketch_distance(*made)[0] <= far
+            if part == 1.0 and n > 60:
+                assert sketch_distance(*made)[0] > (n + len(b)) / 9
