@@ -134,7 +134,7 @@ def first_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     pages = fit_columns(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long")).withColumn("html", F.coalesce("html", F.lit("")))
     keyed = pages.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes))
     groups = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    later = cut(keyed.join(groups.hint("merge"), "sha").where("page_id > first").select("page_id", F.col("sha").alias("_sha"), "first").distinct(), "revisits")
+    later = keyed.join(groups.hint("merge"), "sha").where("page_id > first").select("page_id", F.col("sha").alias("_sha"), "first").distinct()
     # A repeated page_id can have several payloads, so the payload's hash is part of the key.
     sha = F.sha2("html", 256)
     return pages.withColumn("_sha", sha).join(later.hint("merge"), ["page_id", "_sha"], "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
