@@ -4,7 +4,9 @@ Each stage takes all rows that its predecessor kept, and its decisions take effe
 later copies of repeated line runs, of one word or more, are cut out of the texts, and documents of which nothing is left go; of each group of
 near-duplicates the document with the smallest id stays; documents with a benchmark item in them go; the rest is packed.
 Decisions hold for an id with its text: rows without an id, or that share one, are judged each by their own text.
-All stages but the last return the columns of documents, with n_chars as the length of the text as it now is.
+All stages but the last return the columns of documents, with n_chars as the length of the text as it now is; extra columns
+are kept, whatever their names. Ties go to the smallest id; rows that repeat an id and its text count once in the join and
+stay together elsewhere. Empty tables, of documents or benchmark items, pass through every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsq.llm.common import cut, small, table
+from obsq.llm.common import columns, cut, fresh, small, table
 from obsq.llm.decontaminate import leaks
 from obsq.llm.language_id import identified
 from obsq.llm.line_dedup import deduplicated
@@ -26,11 +28,10 @@ SHINGLE, NUM, DEN = 5, 80, 100
 MIN_WORDS = 1
 
 
-KEY = "__pipeline_key"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of id and text, and that column's name, which none of theirs has."""
+    (key,) = fresh(docs, "pipeline_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,31 +41,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs; documents that lose every line go."""
-    out = deduplicated(docs, MIN_WORDS).where("_deleted = 0 OR _deleted < _lines")
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    had, lost = fresh(docs, "lines", "deleted")
+    out = deduplicated(docs, MIN_WORDS, (had, lost)).where((F.col(lost) == 0) | (F.col(lost) < F.col(had)))
+    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, columns(docs))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id, null last; rows that repeat an id and its text count once."""
-    keyed = _keyed(docs)
-    found = JaccardJoin(keyed.select(F.col(KEY).alias("doc_id"), "text"), SHINGLE, NUM, DEN).link()
-    found = cut(found.where("n_shingles > 0").select(F.col("doc_id").alias(KEY), "component_id"), "groups")
-    ids = keyed.select(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
-    first = found.distinct().join(ids.hint("merge"), KEY).groupBy("component_id").agg(F.min(F.struct("_id", KEY)).alias("m")).select(F.col(f"m.{KEY}").alias(KEY))
-    gone = cut(found.select(KEY).distinct().join(first.hint("merge"), KEY, "left_anti"), "gone")
-    kept = keyed.join(gone.hint("merge"), KEY, "left_anti")
-    again = cut(found.groupBy(KEY).count().where("count > 1").select(KEY), "repeated")
+    keyed, key = _keyed(docs)
+    found = JaccardJoin(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, NUM, DEN).link()
+    found = cut(found.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    ids = keyed.select(F.col(key).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    first = found.distinct().join(ids.hint("merge"), "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("m")).select(F.col("m.row").alias("row"))
+    gone = cut(found.select("row").distinct().join(first.hint("merge"), "row", "left_anti").withColumnRenamed("row", key), "gone")
+    kept = keyed.join(gone.hint("merge"), key, "left_anti")
+    again = cut(found.groupBy("row").count().where("count > 1").select(F.col("row").alias(key)), "repeated")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again.hint("merge"), KEY, "left_semi").dropDuplicates([KEY])
-    return kept.join(again.hint("merge"), KEY, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return kept.select(*columns(docs))
+    once = kept.join(again.hint("merge"), key, "left_semi").dropDuplicates([key])
+    return kept.join(again.hint("merge"), key, "left_anti").select(*columns(docs)).unionByName(once.select(*columns(docs)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item leaks."""
-    keyed = _keyed(docs)
-    bad = cut(leaks(keyed.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
-    return keyed.join(small(bad), KEY, "left_anti").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    bad = cut(leaks(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return keyed.join(small(bad), key, "left_anti").select(*columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,36 @@ def test_decisions_are_by_row(spark, tmp_path):
 
     assert left(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))) == sorted(map(str, [(5, one), (9, other), *rows[4:8]]))
     assert left(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == sorted(map(str, [*rows[:4], rows[5], *rows[7:]]))
+
+
+CLASHING = "row long, component_id string, key long, at string, gone int, _lines string, _deleted long, `_language_pred` string, `_language_score` int, pipeline_key int, line_dedup_key string, line_dedup_gone int, lines int, deleted int, `a.b` int, _text string"
+
+
+def test_extra_columns_with_the_names_of_ours(spark, tmp_path):
+    w = [f"word{i}" for i in range(200)]
+    item = " ".join(w[120:140])
+    texts = [(1, "a b c\n" + " ".join(w[:60])), (2, "a b c\n" + " ".join(w[:60])), (3, "first " + item), (4, None), (5, ""), (6, "lonely words"), (6, "lonely words"), (None, "no id")]
+    extra = (7, "c", 8, "at", 9, "l", 10, "p", 11, 12, "k", 13, 14, 15, 16, "t")
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *extra) for d, t in texts], f"{COLUMNS}, {CLASHING}")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = spark.createDataFrame(stage(spark, df, str(tmp_path)).collect(), df.schema)
+        seen.append(sorted((r.doc_id or 0, r.text) for r in df.collect()))
+        assert all(tuple(r)[5:] == extra for r in df.collect())
+    lonely, first, no_id = (6, "lonely words"), (3, "first " + item), (0, "no id")
+    assert seen[0] == sorted([(1, texts[0][1]), (2, texts[1][1]), first, lonely, lonely, no_id])
+    assert seen[1] == sorted([(1, texts[0][1]), first, lonely, lonely, no_id])
+    assert seen[2] == sorted([(1, texts[0][1]), first, lonely, no_id])
+    assert seen[3] == sorted([(1, texts[0][1]), lonely, no_id])
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, df, str(tmp_path)).collect()} == {None, 1, 6}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+    one = spark.createDataFrame([(1, "a text", "en", "s", 6)], COLUMNS)
+    assert corpus_pipeline.decontaminate(spark, one, str(tmp_path)).count() == 1
