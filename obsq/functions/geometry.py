@@ -16,7 +16,8 @@ Point = tuple[float, float]
 def haversine_km(lon1: Column, lat1: Column, lon2, lat2) -> Column:
     lon2, lat2 = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lon2, lat2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    # least() would pass over a null, and so put places that are null at the far end of the earth.
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def in_circle(lon: Column, lat: Column, centre: Point, radius_km: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsq.functions import geometry, named, predicates, scalars
-from obsq.operators import ensemble, filters, hops, stats, thinning
+from obsq.operators import ensemble, filters, hops, nearby, profiles, stats, thinning
 from obsq.operators.space import ObsSpace
 from obsq.plans import mapping
 from obsq.plans.pipeline import Pipeline
@@ -284,17 +284,19 @@ def cell_thinning(t):
     return s.df.where("`QC/x` = 0").select(C("Location").alias("c_custkey"))
 
 
+DOWN = {"group variables": ["l_orderkey"], "sort variable": "l_quantity", "sort order": "descending"}
+
+
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS level FROM lineitem")
 def profile_sort(t):
-    w = W.partitionBy("l_orderkey").orderBy(C("l_quantity").desc(), "l_linenumber")
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("level"))
+    return profiles.levels(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), DOWN, "l_linenumber", "level").drop("l_quantity")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(lag(l_quantity) OVER w - l_quantity, 6) AS above, round(l_quantity - lead(l_quantity) OVER w, 6) AS below
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber)""")
 def neighbour_spacing(t):
-    w = W.partitionBy("l_orderkey").orderBy(C("l_quantity").desc(), "l_linenumber")
-    return t("lineitem").select("l_orderkey", "l_linenumber", r6(F.lag("l_quantity").over(w) - C("l_quantity")).alias("above"), r6(C("l_quantity") - F.lead("l_quantity").over(w)).alias("below"))
+    above, below = profiles.spacing(C("l_quantity"), DOWN, "l_linenumber")
+    return t("lineitem").select("l_orderkey", "l_linenumber", r6(above).alias("above"), r6(below).alias("below"))
 
 
 def simple(name: str, tab: str, cols: Callable[[], dict], sql: str) -> None:
@@ -614,13 +616,28 @@ def concatenated_spaces(t):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def stations(t) -> DataFrame:
+    """Suppliers as stations."""
+    return t("supplier").select("s_suppkey", ((C("s_suppkey") * 53 % 36000) / 100.0).alias("lon"), ((C("s_suppkey") * 29 % 18000) / 100.0 - 90.0).alias("lat"), "s_acctbal")
+
+
+@query(f"""WITH p AS (SELECT c_custkey, {LONLAT} FROM customer), o AS (SELECT s_suppkey, s_suppkey * 53 % 36000 / 100.0 AS lon2, s_suppkey * 29 % 18000 / 100.0 - 90.0 AS lat2 FROM supplier),
+d AS (SELECT c_custkey, s_suppkey, {hav('lon2', 'lat2')} AS x FROM p, o)
+SELECT c_custkey, s_suppkey, round(x, 6) AS distance_km FROM d WHERE x <= 1500""")
+def within_radius(t):
+    """Stations within the radius of each point, over the poles and the date line."""
+    return nearby.within_radius(places(t), stations(t), "c_custkey", "s_suppkey", 1500.0).withColumn("distance_km", r6(C("distance_km")))
+
+
 @query()
 def letkf_local(t):
-    """Parts as points, the first members' quantities as the ensemble, order prices as observations of the mean."""
-    x = t("lineitem").select(C("l_partkey").alias("cell"), C("l_linenumber").alias("member"), C("l_quantity").alias("value"), "l_orderkey").where("member <= 4")
-    points = x.groupBy("cell", "member").agg(F.avg("value").alias("value"))
-    obs = points.select("cell", F.lit(1).alias("obs_id"), "member", C("value").alias("simulated")).withColumns({"observed": F.lit(25.0), "variance": F.lit(16.0)})
-    return ensemble.letkf(points, obs, "cell")
+    """Analyses at customers' places from the stations around them, with members made from both tables' balances."""
+    member = F.explode(F.sequence(F.lit(1), F.lit(4)))
+    points = places(t).withColumnRenamed("c_custkey", "cell")
+    members = t("customer").select(C("c_custkey").alias("cell"), member.alias("member"), (C("c_acctbal") / 100).alias("b")).select("cell", "member", (C("b") + C("member") * (C("cell") % 7 + 1)).alias("value"))
+    obs = stations(t).select(C("s_suppkey").alias("obs_id"), "lon", "lat", (C("s_acctbal") / 100 + 3.0).alias("observed"), F.lit(4.0).alias("variance"))
+    simulated = stations(t).select(C("s_suppkey").alias("obs_id"), member.alias("member"), (C("s_acctbal") / 100).alias("b")).select("obs_id", "member", (C("b") + C("member") * (C("obs_id") % 5 + 1)).alias("simulated"))
+    return nearby.local_analysis(points, members, obs, simulated, "cell", 1500.0)
 
 
 def streaming_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,10 +648,11 @@ def streaming_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(source).schema
     # Each file is a batch of the stream; the sink's table is what the query returns.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", C("ts").cast("timestamp"))
-    name = "obsq_thinned"
-    run = thin_stream(stream, "user_id", "ts", "event_id", 6 * 3600).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    top = files.shared_folder(spark, "thinned")
+    kept = thin_stream(stream, "user_id", "ts", "event_id", 6 * 3600)
+    sink = kept.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/checkpoint")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{top}/rows")
 
 
 QUERIES["streaming_thinning"] = streaming_thinning

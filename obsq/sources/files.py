@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,3 +95,9 @@ def duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_attributes(df: DataFrame, attributes: Mapping[str, Mapping]) -> DataFrame:
     """Columns with units, names and ranges as metadata."""
     return df.select(*(F.col(f"`{c}`").alias(c, metadata=dict(attributes[c])) if c in attributes else F.col(f"`{c}`") for c in df.columns))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='obsq-shared-')}"
+    return f"{base.rstrip('/')}/obsq-{name}-{uuid.uuid4().hex[:12]}"

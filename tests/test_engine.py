@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsq.functions import geometry, named, predicates, scalars
-from obsq.operators import ensemble, filters, hops, thinning
+from obsq.operators import ensemble, filters, hops, nearby, profiles, thinning
 from obsq.operators.space import ObsSpace
 from obsq.plans import config, mapping
 from obsq.plans.pipeline import Pipeline, dispatch
@@ -281,3 +281,75 @@ def test_unknown_operators_are_errors(spark):
         operator_of({"name": "CRTM"}, ["x"])
     made = operator_of({"name": "SfcPCorrected"}, ["p"]) | operator_of({"name": "SfcCorrected"}, ["t"]) | operator_of({"name": "AtmVertInterpLay", "thickness": "d"}, ["o"])
     assert sorted(made) == ["o", "p", "t"]
+
+
+def near_pairs(points, obs, radius):
+    def far(a, b):
+        (x, y), (u, v) = (tuple(map(math.radians, p)) for p in (a, b))
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
+
+    return {(i, j): d for i, p in enumerate(points) for j, o in enumerate(obs) if None not in p + o and (d := far(p, o)) <= radius}
+
+
+@pytest.mark.parametrize("radius", [40.0, 900.0, 4000.0, 25000.0])
+def test_within_radius_equals_all_pairs(spark, radius):
+    r = random.Random(3)
+    edges = [(0.0, 90.0), (120.0, -90.0), (180.0, 0.0), (-180.0, 0.1), (359.95, 45.0), (0.05, 45.0), (10.0, 89.9), (190.0, 89.9)]
+    points, obs = ([*edges, (None, 1.0), *((r.uniform(-180, 360), math.degrees(math.asin(r.uniform(-1, 1)))) for _ in range(60))] for _ in range(2))
+    tables = [spark.createDataFrame([(i, *p) for i, p in enumerate(x)], f"{k} long, lon double, lat double") for x, k in ((points, "p"), (obs, "o"))]
+    got = nearby.within_radius(*tables, "p", "o", radius).collect()
+    want = near_pairs(points, obs, radius)
+    assert len(got) == len(want) and {(x.p, x.o): pytest.approx(x.distance_km, abs=1e-6) for x in got} == want
+    with pytest.raises(ValueError):
+        nearby.within_radius(*tables, "p", "o", 0.0)
+
+
+def test_distance_to_a_null_place_is_null(spark):
+    assert values(spark, d=geometry.haversine_km(F.lit(None).cast("double"), F.lit(1.0), 0.0, 0.0)).d is None
+
+
+def test_local_analysis_weighs_by_distance(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 0.0)], "cell long, lon double, lat double")
+    members = spark.createDataFrame([(c, m, float(m)) for c in (1, 2) for m in range(4)], "cell long, member int, value double")
+    obs = spark.createDataFrame([(7, 0.0, 4.0, 9.0, 1.0)], "obs_id long, lon double, lat double, observed double, variance double")
+    simulated = spark.createDataFrame([(7, m, float(m)) for m in range(4)], "obs_id long, member int, simulated double")
+    got = {(x.cell, x.member): x.analysis for x in nearby.local_analysis(points, members, obs, simulated, "cell", 1000.0).collect()}
+    z = 6371.0 * math.radians(4.0) / 500.0
+    weight = -(z**5) / 4 + z**4 / 2 + 5 * z**3 / 8 - 5 * z**2 / 3 + 1
+    spread = 5 / 3
+    mean = 1.5 + spread / (spread + 1 / weight) * (9 - 1.5)
+    assert sum(got[1, m] for m in range(4)) / 4 == pytest.approx(mean)
+    assert [got[2, m] for m in range(4)] == [0, 1, 2, 3]
+
+
+def test_groupings(spark):
+    df = spark.createDataFrame([(1, "a", 5.0), (2, "a", 7.0), (3, "a", None), (4, "a", 7.0), (5, "b", 1.0)], "Location long, s string, p double")
+    spec = {"group variables": ["s"], "sort variable": "p", "sort order": "descending"}
+    assert {r.Location: r._level for r in profiles.levels(df, spec).collect()} == {2: 1, 4: 2, 1: 3, 3: 4, 5: 1}
+    for bad, error in (({"sort variable": "p"}, KeyError), (spec | {"sort orde": 1}, KeyError), (spec | {"sort order": "up"}, ValueError)):
+        with pytest.raises(error):
+            profiles.grouping(bad)
+
+
+def test_stream_in_batches_equals_the_walk(spark, tmp_path):
+    from obsq.streaming.thinning import thin_stream
+
+    r = random.Random(5)
+    rows = sorted((r.randint(0, 40000), i, r.choice("ab")) for i in range(200))
+    for k in range(4):
+        part = spark.createDataFrame(rows[k * 50 : k * 50 + 50] + ([(None, 900, "a")] if k == 1 else []), "s long, l long, g string").withColumn("t", F.timestamp_seconds("s")).drop("s")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    kept = thin_stream(stream, "g", "t", "l", 1800, "10 minutes")
+    kept.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((x.g, x.l) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    want, last = [], {}
+    for s, l, g in rows:
+        if g not in last or s - last[g] >= 1800:
+            want.append((g, l))
+            last[g] = s
+    assert got == sorted(want)
+
+
+def test_loose_json_is_read(spark):
+    assert config.load("{ 'a': 1,  # one\n  \"b\": [1, 2,],\n}") == {"a": 1, "b": [1, 2]}
