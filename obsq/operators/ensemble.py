@@ -54,9 +54,17 @@ def letkf(points: DataFrame, obs: DataFrame, key: str, inflation: float = 1.0) -
         p = p.sort_values("member")
         x = p["value"].to_numpy(float)
         if len(o):
-            y = o.pivot_table(index="obs_id", columns="member", values="simulated").reindex(columns=p["member"]).dropna()
-            about = o.drop_duplicates("obs_id").set_index("obs_id").loc[y.index]
-            x = transform(x, y.to_numpy(float), about["observed"].to_numpy(float), about["variance"].to_numpy(float), inflation)
+            # Rows: observations; columns: members, in the order of the points'. One that lacks a member doesn't count.
+            known, place = np.unique(p["member"].to_numpy(), return_inverse=True)
+            o = o[o["simulated"].notna() & o["member"].isin(known)]
+            ids, first, row = np.unique(o["obs_id"].to_numpy(), return_index=True, return_inverse=True)
+            cell = row * len(known) + np.searchsorted(known, o["member"].to_numpy())
+            size = (len(ids), len(known))
+            times = np.bincount(cell, minlength=len(ids) * len(known)).reshape(size)
+            sums = np.bincount(cell, o["simulated"].to_numpy(float), len(ids) * len(known)).reshape(size)
+            whole = (times > 0).all(1)
+            y, at = (sums[whole] / times[whole])[:, place], first[whole]
+            x = transform(x, y, o["observed"].to_numpy(float)[at], o["variance"].to_numpy(float)[at], inflation)
         return pd.DataFrame({key: p[key].to_numpy(), "member": p["member"].to_numpy(), "analysis": x})
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}

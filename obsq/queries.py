@@ -414,9 +414,13 @@ def cross_channel_reject(t):
 
 @query("SELECT event_type AS kind, count(*) FILTER (value <= 300) - count(*) FILTER (value <= 200) AS difference FROM events GROUP BY event_type")
 def qc_count_difference(t):
-    a, b = (filters.apply(events(t), {"filter": "Bounds Check", "maxvalue": m}).passed("x") for m in (300, 200))
-    df = events(t).df.withColumn("a", C("`ObsValue/x`") <= 300).withColumn("b", C("`ObsValue/x`") <= 200)
-    return df.groupBy(C("`MetaData/type`").alias("kind")).agg((F.count(F.when(C("a"), 1)) - F.count(F.when(C("b"), 1))).alias("difference"))
+    """How many more pass the wider of two bounds, for each type."""
+
+    def passed(most: int, name: str) -> DataFrame:
+        s = filters.apply(events(t), {"filter": "Bounds Check", "maxvalue": most})
+        return s.df.groupBy(C("`MetaData/type`").alias("kind")).agg(F.count_if(C("`QC/x`") == 0).alias(name))
+
+    return passed(300, "wide").join(passed(200, "narrow"), "kind").select("kind", (C("wide") - C("narrow")).alias("difference"))
 
 
 @query("SELECT l_partkey, count(*) AS members, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_partkey")

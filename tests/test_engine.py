@@ -219,6 +219,15 @@ def test_letkf_over_groups(spark):
     assert [got[1, m] for m in range(4)] == pytest.approx(want.tolist()) and [got[2, m] for m in range(4)] == [2, 3, 4, 5]
 
 
+def test_letkf_leaves_out_observations_that_lack_a_member(spark):
+    points = spark.createDataFrame([(1, m, float(m)) for m in range(4)], "cell long, member int, value double")
+    rows = [(1, 5, m, float(m), 9.0, 1.0) for m in range(4)] + [(1, 6, m, 3.0 * m, 2.0, 1.0) for m in range(3)] + [(1, 8, m, None if m == 2 else 1.0, 2.0, 1.0) for m in range(4)] + [(1, 5, 9, 4.0, 9.0, 1.0)]
+    obs = spark.createDataFrame(rows, "cell long, obs_id long, member int, simulated double, observed double, variance double")
+    got = {r.member: r.analysis for r in ensemble.letkf(points, obs, "cell").collect()}
+    x = np.arange(4.0)
+    assert [got[m] for m in range(4)] == pytest.approx(ensemble.transform(x, x[None, :], np.array([9.0]), np.array([1.0])).tolist())
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, v double")
     assert files.read_or_empty(spark, f"{tmp_path}/none", df.schema).count() == 0
