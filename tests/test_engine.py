@@ -147,6 +147,22 @@ def test_thinning_keeps_the_spacing(spark, seed_time):
     assert {x._kept for x in thinning.temporal(df.where("s is not null"), "t", 0, "g").collect()} == {True}
 
 
+@pytest.mark.parametrize("width", [1, 3, 64])
+def test_walk_over_blocks_equals_the_walk(spark, width):
+    """A category with most rows, ties, blocks without rows, times before the epoch, strings as locations."""
+    r = random.Random(21)
+    rows = [("hot", r.randint(-4000, 4000), f"h{i}") for i in range(3000)] + [("even", 7 * i, f"e{i}") for i in range(400)]
+    rows += [("rare", r.randint(-200000, 200000), f"r{i}") for i in range(60)] + [("one", 100, "o")]
+    got = {x[0] for x in thinning.kept_rows(spark.createDataFrame(rows, "_g string, _t long, _l string"), 100, width).collect()}
+    want, last = set(), {}
+    for g, t, place in sorted(rows):
+        if g not in last or t - last[g] >= 100:
+            want.add(place)
+            last[g] = t
+    assert got == want
+    assert thinning.kept_rows(spark.createDataFrame([], "_g string, _t long, _l string"), 100, width).collect() == []
+
+
 def test_durations():
     assert [thinning.seconds(d) for d in ("PT06M", "PT30M", "PT00M", "P1DT2H")] == [360, 1800, 0, 93600]
     with pytest.raises(ValueError):
