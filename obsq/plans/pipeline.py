@@ -60,12 +60,12 @@ def dispatch(name: str, *args, **kwargs):
 
 
 @application("hofx4d")
-def hofx(space: ObsSpace, observer: Mapping, iteration: int = 0) -> ObsSpace:
-    """What the observer's operator simulates, if it names one, then quality control and departures."""
+def hofx(space: ObsSpace, observer: Mapping, iteration: int = 0, departures: str = "ombg") -> ObsSpace:
+    """What the observer's operator simulates, if it names one, then quality control and departures: `ombg`, `oman` or another group."""
     if operator := observer.get("obs operator"):
         space = space.with_columns({f"HofX/{v}": c for v, c in hops.operator_of(operator, space.variables).items()})
     done = Pipeline.of(observer).run(space, iteration)
-    return done.with_columns({f"ombg/{v}": done.departure(v) for v in done.variables})
+    return done.with_columns({f"{departures}/{v}": done.departure(v) for v in done.variables})
 
 
 @application("convertstate")
