@@ -11,10 +11,12 @@ stay together elsewhere. Empty tables, of documents or benchmark items, pass thr
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsq.llm.common import columns, cut, fresh, small, table
+from obsq.llm.common import columns, cut, fresh, hand_back, small, table
 from obsq.llm.decontaminate import leaks
 from obsq.llm.language_id import identified
 from obsq.llm.line_dedup import deduplicated
@@ -28,17 +30,30 @@ SHINGLE, NUM, DEN = 5, 80, 100
 MIN_WORDS = 1
 
 
+def stage(f):
+    """A stage that begins with executors as small as the stages before it can leave them."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hand_back(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a key of id and text, and that column's name, which none of theirs has."""
     (key,) = fresh(docs, "pipeline_key")
     return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those with null text or without letters go."""
     return identified(docs)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs; documents that lose every line go."""
     had, lost = fresh(docs, "lines", "deleted")
@@ -46,6 +61,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, columns(docs))))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id, null last; rows that repeat an id and its text count once."""
     keyed, key = _keyed(docs)
@@ -62,6 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(again.hint("merge"), key, "left_anti").select(*columns(docs)).unionByName(once.select(*columns(docs)))
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item leaks."""
     keyed, key = _keyed(docs)
@@ -69,6 +86,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(small(bad), key, "left_anti").select(*columns(docs))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, as op9 returns them."""
     return op9_packing(spark, docs, tokenizer_file("byte_bpe_50k.json"))
@@ -82,6 +100,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = cut(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

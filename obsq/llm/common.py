@@ -87,6 +87,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hand_back(spark: SparkSession) -> None:
+    """Let executors give memory that finished steps have freed back to the machine: the JVM's heap, and what Python workers hold.
+
+    A heap stays as large as any step made it, and workers keep what their allocators have freed, so the peaks of steps that
+    follow each other add up otherwise. A few small tasks for each core reach every executor that is idle.
+    """
+    ship(spark)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+
+    def trim(batches):
+        for b in batches:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+            yield b
+
+    swept = spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("swept"))
+    swept.mapInArrow(trim, "swept string").write.format("noop").mode("overwrite").save()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI of the shared folder, or of a plain path."""
     from pyarrow import fs

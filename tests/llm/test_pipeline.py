@@ -101,3 +101,24 @@ def test_empty_tables(spark, tmp_path):
         assert out.count() == 0, name
     one = spark.createDataFrame([(1, "a text", "en", "s", 6)], COLUMNS)
     assert corpus_pipeline.decontaminate(spark, one, str(tmp_path)).count() == 1
+
+
+def test_stages_begin_with_memory_handed_back(spark, monkeypatch):
+    from obsq.llm.common import hand_back
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    count = lambda: sum(b.getCollectionCount() for b in beans())
+    before = count()
+    hand_back(spark)
+    assert count() > before
+
+    class Begun(Exception):
+        pass
+
+    def begun(session):
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "hand_back", begun)
+    for _, step in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            step(spark, None, "")
