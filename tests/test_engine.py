@@ -378,3 +378,35 @@ def test_stream_in_batches_equals_the_walk(spark, tmp_path):
 
 def test_loose_json_is_read(spark):
     assert config.load("{ 'a': 1,  # one\n  \"b\": [1, 2,],\n}") == {"a": 1, "b": [1, 2]}
+
+
+def test_local_analysis_makes_no_row_of_a_pair(spark, monkeypatch):
+    """Sums over blocks give what one solve for each point gives, with other members, missing values and copies."""
+    monkeypatch.setattr(nearby, "BLOCK", 7)
+    monkeypatch.delattr(nearby, "within_radius")
+    r = random.Random(9)
+    spot = lambda: (r.uniform(-30, 30), r.uniform(-20, 20))
+    where = {c: spot() for c in range(40)}
+    of = {c: [1, 2, 3, 3] if c % 5 == 0 else [1, 2, 3, 4] for c in where}
+    x = {c: [r.gauss(0, 2) for _ in of[c]] for c in where}
+    obs = {i: (*spot(), None if i == 3 else r.gauss(0, 2), 0.0 if i == 4 else r.uniform(1, 4)) for i in range(50)}
+    y = {(i, m): r.gauss(0, 2) for i in obs for m in (1, 2, 3, 4) if (i, m) not in ((5, 4), (6, 1))}
+    points = spark.createDataFrame([(c, *p) for c, p in where.items()] + [(98, None, 1.0)], "cell long, lon double, lat double")
+    members = spark.createDataFrame([(c, m, v) for c in where for m, v in zip(of[c], x[c])] + [(c, m, 1.0 * m) for c in (98, 99) for m in (1, 2)], "cell long, member int, value double")
+    rows = [(i, *o) for i, o in obs.items()]
+    seen = spark.createDataFrame(rows + rows[:9], "obs_id long, lon double, lat double, observed double, variance double")
+    simulated = spark.createDataFrame([(*k, v) for k, v in y.items()], "obs_id long, member int, simulated double")
+    got = nearby.local_analysis(points, members, seen, simulated, "cell", 1500.0, 1.1)
+    found = {}
+    for v in got.collect():
+        found.setdefault(v.cell, []).append(v.analysis)
+    near = near_pairs([where[c] for c in range(40)], [obs[i][:2] for i in range(50)], 1500.0)
+    for c in where:
+        use = [(i, d) for (p, i), d in sorted(near.items()) if p == c and i not in (3, 4) and all((i, m) in y for m in of[c])]
+        z = np.array([d / 750.0 for _, d in use])
+        w = np.where(z <= 1, -(z**5) / 4 + z**4 / 2 + z**3 * 5 / 8 - z**2 * 5 / 3 + 1, z**5 / 12 - z**4 / 2 + z**3 * 5 / 8 + z**2 * 5 / 3 - 5 * z + 4 - 2 / (3 * np.maximum(z, 0.1)))
+        use, w = [i for (i, _), k in zip(use, w) if k > nearby.LEAST_WEIGHT], w[w > nearby.LEAST_WEIGHT]
+        order = sorted(range(4), key=lambda k: (of[c][k], x[c][k]))
+        want = ensemble.transform(np.array([x[c][k] for k in order]), np.array([[y[i, of[c][k]] for k in order] for i in use]).reshape(len(use), 4), np.array([obs[i][2] for i in use]), np.array([obs[i][3] for i in use]) / w, 1.1)
+        assert sorted(found[c]) == pytest.approx(sorted(want.tolist()), abs=1e-9)
+    assert sorted(found[98]) == sorted(found[99]) == [1.0, 2.0]
