@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsq.functions.geometry import EARTH_KM, haversine_km
+from obsq.functions.geometry import EARTH_KM
 
 #: Cells are wider than the radius by this factor, so that rounding loses no pair.
 SLACK = 1 + 1e-9
 #: Observations whose weight is under this part of a whole one don't count.
 LEAST_WEIGHT = 1e-6
+#: Cosines of angles that differ by more than this are told apart surely.
+SURE = 1e-12
 #: Points and observations of a cell that are compared in one task.
 BLOCK = 2048
 
@@ -54,24 +56,34 @@ def within_radius(points: DataFrame, obs: DataFrame, key: str, ob_key: str, radi
     """key, ob_key, distance_km of every pair at most `radius_km` apart; both tables have lon and lat, in degrees.
 
     Each observation lies in one cell, and each point looks in the cells around its own, nine at most, so pairs come from an
-    equal join on cells. The points should be the smaller side. Places that are null are near nothing; rows that repeat give
+    equal join on cells. The points should be the smaller side. The cosine of the angle decides on a pair, the distance itself
+    only where the cosine is too near the radius' own. Places that are null are near nothing; rows that repeat give
     their pairs again; the poles and the date line need no care.
     """
     if not radius_km > 0:
         raise ValueError("the radius must be above 0")
     reach = math.degrees(radius_km / EARTH_KM)
-    band = F.floor((F.col("lat") + 90.0) / (reach * SLACK))
-    placed = obs.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col(ob_key).alias("_o"), F.col("lon").cast("double").alias("_olon"), F.col("lat").cast("double").alias("_olat"), band.alias("_b"), _cell(F.col("lon"), _cells(band, reach)).alias("_c"))
 
-    def around(b: Column) -> Column:
-        cells = _cells(b, reach)
-        here = _cell(F.col("lon"), cells)
-        return F.transform(F.array_distinct(F.array(*(F.pmod(here + e, cells) for e in (-1, 0, 1)))), lambda c: F.struct(b.alias("b"), c.alias("c")))
+    def place(side: str) -> list[Column]:
+        lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+        wide = F.cos(F.radians(lat))
+        made = {"lon": lon, "lat": lat, "wide": wide, "x": wide * F.cos(F.radians(lon)), "y": wide * F.sin(F.radians(lon)), "z": F.sin(F.radians(lat))}
+        return [v.alias(f"_{side}{k}") for k, v in made.items()]
 
-    looked = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col(key).alias("_p"), "lon", "lat", F.explode(F.concat(*(around(band + d) for d in (-1, 0, 1)))).alias("_at"))
-    looked = looked.select("_p", F.col("lon").cast("double").alias("_plon"), F.col("lat").cast("double").alias("_plat"), F.col("_at.b").alias("_b"), F.col("_at.c").alias("_c"))
-    far = haversine_km(F.col("_plon"), F.col("_plat"), F.col("_olon"), F.col("_olat"))
-    return looked.join(placed, ["_b", "_c"]).withColumn("distance_km", far).where(F.col("distance_km") <= radius_km).select(F.col("_p").alias(key), F.col("_o").alias(ob_key), "distance_km")
+    band, cell = _own(reach)
+    placed = obs.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col(ob_key).alias("_o"), *place("o"), band.alias("_b"), cell.alias("_c"))
+    looked = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col(key).alias("_p"), *place("p"), F.explode(_around(reach)).alias("_at"))
+    looked = looked.select("*", F.col("_at.b").alias("_b"), F.col("_at.c").alias("_c"))
+
+    def half(what: str) -> Column:
+        return F.pow(F.sin(F.radians(F.col(f"_o{what}") - F.col(f"_p{what}")) / 2), 2)
+
+    # As haversine_km() has it, with the cosines of the latitudes from before the join; no place is null here.
+    far = 2 * EARTH_KM * F.asin(F.sqrt(F.least(half("lat") + F.col("_pwide") * F.col("_owide") * half("lon"), F.lit(1.0))))
+    cosine = F.col("_px") * F.col("_ox") + F.col("_py") * F.col("_oy") + F.col("_pz") * F.col("_oz")
+    least = math.cos(min(radius_km / EARTH_KM, math.pi))
+    near = (cosine > least + SURE) | ((cosine > least - SURE) & (far <= radius_km))
+    return placed.join(looked, ["_b", "_c"]).where(near).select(F.col("_p").alias(key), F.col("_o").alias(ob_key), far.alias("distance_km"))
 
 
 def local_analysis(points: DataFrame, members: DataFrame, obs: DataFrame, simulated: DataFrame, key: str, radius_km: float, inflation: float = 1.0) -> DataFrame:

@@ -630,7 +630,9 @@ d AS (SELECT c_custkey, s_suppkey, {hav('lon2', 'lat2')} AS x FROM p, o)
 SELECT c_custkey, s_suppkey, round(x, 6) AS distance_km FROM d WHERE x <= 1500""")
 def within_radius(t):
     """Stations within the radius of each point, over the poles and the date line."""
-    return nearby.within_radius(places(t), stations(t), "c_custkey", "s_suppkey", 1500.0).withColumn("distance_km", r6(C("distance_km")))
+    near = nearby.within_radius(stations(t), places(t), "s_suppkey", "c_custkey", 1500.0)  # the smaller side looks around
+    # Rounded as SQL does it: F.round() makes a decimal of every value.
+    return near.select("c_custkey", "s_suppkey", (F.floor(C("distance_km") * 1e6 + 0.5) / 1e6).alias("distance_km"))
 
 
 @query()

@@ -410,3 +410,14 @@ def test_local_analysis_makes_no_row_of_a_pair(spark, monkeypatch):
         want = ensemble.transform(np.array([x[c][k] for k in order]), np.array([[y[i, of[c][k]] for k in order] for i in use]).reshape(len(use), 4), np.array([obs[i][2] for i in use]), np.array([obs[i][3] for i in use]) / w, 1.1)
         assert sorted(found[c]) == pytest.approx(sorted(want.tolist()), abs=1e-9)
     assert sorted(found[98]) == sorted(found[99]) == [1.0, 2.0]
+
+
+def test_within_radius_decides_by_cosines_and_keeps_distances(spark):
+    r = random.Random(4)
+    tables = [spark.createDataFrame([(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(120)], f"{k} long, lon double, lat double") for k in "po"]
+    near = nearby.within_radius(*tables, "p", "o", 2000.0)
+    optimized = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "_px" in optimized  # the cosine is in the join's condition
+    a, b = (x.select(x.columns[0], F.col("lon").alias(f"lon{k}"), F.col("lat").alias(f"lat{k}")) for k, x in zip("po", tables))
+    want = a.join(b).select("p", "o", geometry.haversine_km(F.col("lonp"), F.col("latp"), F.col("lono"), F.col("lato")).alias("d")).where("d <= 2000")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, want.collect()))
