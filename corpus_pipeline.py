@@ -16,7 +16,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsq.llm.common import columns, cut, fresh, hand_back, small, table
+from obsq.llm.common import columns, cut, fresh, hand_back, small, table, trim_workers
 from obsq.llm.decontaminate import leaks
 from obsq.llm.language_id import identified
 from obsq.llm.line_dedup import deduplicated
@@ -28,6 +28,8 @@ from obsq.llm.queries import tokenizer_file
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Every repeated line that isn't blank counts.
 MIN_WORDS = 1
+#: Stages that run no Python on the executors, not to hand memory back either.
+NATIVE = {"lines"}
 
 
 def stage(f):
@@ -36,6 +38,8 @@ def stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         hand_back(spark)
+        if f.__name__ not in NATIVE:
+            trim_workers(spark)
         return f(spark, docs, sf_dir)
 
     return run_stage

@@ -88,24 +88,43 @@ def release(spark: SparkSession) -> None:
 
 
 def hand_back(spark: SparkSession) -> None:
-    """Let executors give memory that finished steps have freed back to the machine: the JVM's heap, and what Python workers hold.
+    """Let executors give the heap that finished steps have freed back to the machine; SQL alone, so native steps may begin with it.
 
-    A heap stays as large as any step made it, and workers keep what their allocators have freed, so the peaks of steps that
-    follow each other add up otherwise. A few small tasks for each core reach every executor that is idle.
+    A heap stays as large as any step made it, so the peaks of steps that follow each other add up otherwise. A few small
+    tasks for each core reach every executor that is idle. What Python workers hold is trim_workers()'s and trimmed()'s matter.
     """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("swept")).write.format("noop").mode("overwrite").save()
+
+
+def trim() -> None:
+    """Give back what this process's allocators keep of freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(run):
+    """A function of a partition's batches, as mapInArrow takes it, whose worker gives freed memory back at the end."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def trim_workers(spark: SparkSession) -> None:
+    """Let idle Python workers give freed memory back, by a few small tasks for each core."""
     ship(spark)
     tasks = 2 * spark.sparkContext.defaultParallelism
 
-    def trim(batches):
-        for b in batches:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
-            yield b
+    def run(batches):
+        trim()
+        yield from batches
 
-    swept = spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("swept"))
-    swept.mapInArrow(trim, "swept string").write.format("noop").mode("overwrite").save()
+    spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
 
 
 def filesystem(uri: str):

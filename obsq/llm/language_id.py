@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsq.llm.common import U64, columns, cut, discard, fit_columns, fresh, mix, one_thread, ship, text_slices
+from obsq.llm.common import U64, columns, cut, discard, fit_columns, fresh, mix, one_thread, ship, text_slices, trimmed
 
 SPACE = 32
 FOLDS = 5
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, dimensions: int = 1024, most: int = 4096) -> dict[str
                     total.clear()
         yield from sums()
 
-    summed = labelled.mapInArrow(run, "lang string, dimension int, value long").groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
+    summed = labelled.mapInArrow(trimmed(run), "lang string, dimension int, value long").groupBy("lang", "dimension").agg(F.sum("value").alias("value"))
     summed = cut(summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dimension", "value"))).alias("v")).select("lang", F.col("v.value").alias("v")), "prototypes")
     if summed.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} languages; prototypes go to every worker, so their number is bounded")
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
                 pred = pa.array([names[k] if k >= 0 else "und" for k in best.tolist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(first, rows) for i in range(len(carry))), pred, pa.array(score)], names=schema.fieldNames())
 
-    return docs.select(*kept, F.col("text")).mapInArrow(run, schema).toDF(*carry, *made)
+    return docs.select(*kept, F.col("text")).mapInArrow(trimmed(run), schema).toDF(*carry, *made)
 
 
 def op7_language_id(docs: DataFrame, dimensions: int = 1024) -> DataFrame:

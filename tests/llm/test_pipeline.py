@@ -122,3 +122,16 @@ def test_stages_begin_with_memory_handed_back(spark, monkeypatch):
     for _, step in corpus_pipeline.STAGES:
         with pytest.raises(Begun):
             step(spark, None, "")
+
+
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(1, "a b\nc", "en", "s", 5), (2, "a b\nd", "en", "s", 5)], COLUMNS)
+    frame, groups = type(docs), type(docs.groupBy())
+    used = []
+    for of, names in ((frame, ("mapInArrow", "mapInPandas")), (groups, ("applyInPandas", "applyInArrow"))):
+        for name in names:
+            monkeypatch.setattr(of, name, lambda self, *a, _was=getattr(of, name), _name=name, **k: used.append(_name) or _was(self, *a, **k))
+    assert sorted(r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()) == ["a b\nc", "d"]
+    assert not used
+    corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert "mapInArrow" in used  # the watch works, and other stages trim their workers
