@@ -33,6 +33,27 @@ from obsq.llm.components import components
 _SALT = constants(16, 77)
 
 
+def _order(keys: list[tuple[np.ndarray, int]], last: np.ndarray) -> np.ndarray:
+    """The order by keys of so many bits each, then by the 64-bit values `last`: as np.lexsort gives it but for ties of all.
+
+    One integer holds the keys and the first bits of `last`, as sorting one column is several times faster; the rest of
+    `last` is looked at where it could matter.
+    """
+    used = sum(bits for _, bits in keys)
+    if used > 40:
+        return np.lexsort((last, *(key for key, _ in reversed(keys))))
+    whole, at = last >> U64(used), 64
+    for key, bits in keys:
+        at -= bits
+        if bits:
+            whole |= key.astype(U64) << U64(at)
+    order = np.argsort(whole)
+    whole, ends = whole[order], last[order]
+    if ((whole[1:] == whole[:-1]) & (ends[1:] != ends[:-1])).any():
+        return np.lexsort((last, *(key for key, _ in reversed(keys))))
+    return order
+
+
 def shingle_sets(column: pa.Array, n: int):
     """For runs of rows: (first row, rows, row of each element, element), elements distinct and ascending in each row."""
     for first, data, offsets in text_slices(column):
@@ -55,7 +76,7 @@ def shingle_sets(column: pa.Array, n: int):
                 g += word[head[short] + j] * _SALT[j]
             h, at = np.concatenate((h, g)), np.concatenate((at, short))
         h = mix(h)
-        order = np.lexsort((h, at))
+        order = _order([(at, rows.bit_length())], h)
         h, at = h[order], at[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
@@ -85,6 +106,7 @@ class Scheme:
         band = np.searchsorted(self.low, np.maximum(size, 1), "right") - 1
         widest = size * self.den // self.num
         out_row, out_key = [], []
+        spread, content_of = mix(h + _SALT[14]), mix(h ^ _SALT[15])
         for step in (0, 1):
             g = band + step
             most = self._distance(self.high[g], self.high[g])
@@ -99,15 +121,16 @@ class Scheme:
             if not total:
                 continue
             taken = np.flatnonzero(use[at])
-            row, value = at[taken], h[taken]
-            cell = base[row] + (mix(value + _SALT[14]) % cells[row].astype(U64)).astype(np.int64)
+            row = at[taken]
+            cell = base[row] + (spread[taken] % cells[row].astype(U64)).astype(np.int64)
             count = np.bincount(cell, minlength=total)
             content = np.zeros(total, U64)
-            np.add.at(content, cell, mix(value ^ _SALT[15]))
+            np.add.at(content, cell, content_of[taken])
             owner = np.repeat(np.arange(rows), cells)
             place = np.arange(total) - base[owner]
             sig = mix(mix(content + count.astype(U64) * _SALT[1]) + g[owner].astype(U64) * _SALT[2] + place.astype(U64) * _SALT[3])
-            order = np.lexsort((sig, -count, owner))
+            fullest = int(count.max())
+            order = _order([(owner, rows.bit_length()), (fullest - count, fullest.bit_length())], sig)
             kept = order[place < keep[owner]]  # owners are in order, so places are ranks
             out_row.append(owner[kept])
             out_key.append(sig[kept])
@@ -133,11 +156,15 @@ def _lists(rows_kept: np.ndarray, at: np.ndarray, values: np.ndarray, rows: int)
     return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(signed(values[take])))
 
 
+#: Bins of the smallest sketches; those of the largest.
+LEAST_BINS, MOST_BINS = 64, 4096
+
+
 def sketches(rows_kept: np.ndarray, at: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
     """For some rows, how many elements fall into each of about half as many bins, a byte each; null if a byte can't hold it."""
     size = np.bincount(at, minlength=rows)
     bins = np.zeros(rows, np.int64)
-    bins[rows_kept] = 1 << np.clip(np.ceil(np.log2(np.maximum(size[rows_kept], 2) / 2)), 6, 12).astype(np.int64)
+    bins[rows_kept] = 1 << np.clip(np.ceil(np.log2(np.maximum(size[rows_kept], 2) / 2)), np.log2(LEAST_BINS), np.log2(MOST_BINS)).astype(np.int64)
     base = np.cumsum(bins) - bins
     taken = np.flatnonzero(bins[at])
     row = at[taken]
@@ -152,8 +179,41 @@ def sketches(rows_kept: np.ndarray, at: np.ndarray, h: np.ndarray, rows: int) ->
 def sketch_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, the differences of two tables of sketches, the wider one folded: at most the sets' symmetric difference."""
     least = min(x.shape[1], y.shape[1])
-    x, y = (z.astype(np.int32).reshape(len(z), -1, least).sum(1) for z in (x, y))
-    return np.abs(x - y).sum(1)
+    if x.shape[1] != y.shape[1]:
+        x, y = (z.reshape(len(z), -1, least).sum(1, dtype=np.uint16) for z in (x, y))
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
+
+
+def coarse(table: np.ndarray) -> np.ndarray:
+    """Sketches folded into the fewest bins, which all have, held at 255: distances of these are at most those of the sketches."""
+    return np.minimum(table.reshape(len(table), -1, LEAST_BINS).sum(1, dtype=np.uint16), 255).astype(np.uint8)
+
+
+def near_by_sketches(sketch: pd.Series, n: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs of rows (x, y) sizes n and sketches don't show to differ in too much; pairs without sketches stay.
+
+    Coarse sketches go first, as they tell most pairs apart.
+    """
+    width = np.array([len(s) if s is not None else 0 for s in sketch])
+    place, tables, folded = np.zeros(len(sketch), np.int64), {}, np.zeros((len(sketch), LEAST_BINS), np.uint8)
+    for w in np.unique(width[width > 0]).tolist():
+        of = np.flatnonzero(width == w)
+        place[of] = np.arange(len(of))
+        tables[w] = np.frombuffer(b"".join(sketch.iloc[of]), np.uint8).reshape(len(of), w)
+        folded[of] = coarse(tables[w])
+    keep = np.zeros(len(x), bool)
+    for lo in range(0, len(x), 2048):
+        i, j = x[lo : lo + 2048], y[lo : lo + 2048]
+        keep[lo : lo + 2048] = sketch_distance(folded[i], folded[j]) <= (n[i] + n[j]) * (den - num) // (den + num)
+    keep |= (width[x] == 0) | (width[y] == 0)
+    left = np.flatnonzero(keep & (width[x] > 0) & (width[y] > 0) & (np.maximum(width[x], width[y]) > LEAST_BINS))
+    for w, v in {*zip(width[x[left]].tolist(), width[y[left]].tolist())}:
+        rows = left[(width[x[left]] == w) & (width[y[left]] == v)]
+        for lo in range(0, len(rows), 1024):
+            some = rows[lo : lo + 1024]
+            i, j = x[some], y[some]
+            keep[some] = sketch_distance(tables[w][place[i]], tables[v][place[j]]) <= (n[i] + n[j]) * (den - num) // (den + num)
+    return keep
 
 
 class JaccardJoin:
@@ -250,7 +310,7 @@ class JaccardJoin:
 
         def table(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
             off = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][rows]
-            return np.frombuffer(column.buffers()[2], np.uint8)[off[:, None] + np.arange(width)[None, :]]
+            return np.lib.stride_tricks.sliding_window_view(np.frombuffer(column.buffers()[2], np.uint8), width)[off]
 
         def run(batches):
             for b in batches:
@@ -303,18 +363,7 @@ class JaccardJoin:
             open_ &= den * np.minimum(n[a][:, None], n[b][None, :]) >= num * np.maximum(n[a][:, None], n[b][None, :])
             x, y = np.nonzero(open_)
             x, y = a[x], b[y]
-            width = np.array([len(s) if s is not None else 0 for s in pdf["sketch"]])
-            place, tables = np.zeros(len(pdf), np.int64), {}
-            for w in np.unique(width[width > 0]).tolist():
-                of = np.flatnonzero(width == w)
-                place[of] = np.arange(len(of))
-                tables[w] = np.frombuffer(b"".join(pdf["sketch"].iloc[of]), np.uint8).reshape(len(of), w)
-            most, keep = (n[x] + n[y]) * (den - num) // (den + num), (width[x] == 0) | (width[y] == 0)
-            for w, v in {*zip(width[x[~keep]].tolist(), width[y[~keep]].tolist())}:
-                rows = np.flatnonzero((width[x] == w) & (width[y] == v))
-                for lo in range(0, len(rows), 1024):
-                    some = rows[lo : lo + 1024]
-                    keep[some] = sketch_distance(tables[w][place[x[some]]], tables[v][place[y[some]]]) <= most[some]
+            keep = near_by_sketches(pdf["sketch"], n, x, y, num, den)
             return pd.DataFrame({"a": np.minimum(node[x], node[y])[keep], "b": np.maximum(node[x], node[y])[keep]})
 
         return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")

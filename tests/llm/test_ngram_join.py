@@ -144,3 +144,36 @@ def test_sketches_never_differ_by_more_than_the_sets():
             assert sketch_distance(*made)[0] <= far
             if part == 1.0 and n > 60:
                 assert sketch_distance(*made)[0] > (n + len(b)) / 9
+
+
+def test_order_in_one_integer_is_that_of_lexsort():
+    from obsq.llm.ngram_join import _order
+
+    r = np.random.default_rng(8)
+    for bits in (0, 3, 12, 41):
+        for last in (r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), r.integers(0, 90, 5000).astype(np.uint64)):
+            a, b = r.integers(0, 1 << bits, 5000), r.integers(0, 4, 5000)
+            got, want = _order([(a, bits), (b, 2)], last), np.lexsort((last, b, a))
+            assert all(np.array_equal(z[got], z[want]) for z in (a, b, last))
+
+
+def test_coarse_sketches_go_first_and_tell_no_similar_pair_apart(monkeypatch):
+    import pandas as pd
+
+    from obsq.llm import ngram_join
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 63, int(r.integers(500, 560))).astype(np.uint64)) for _ in range(60)]
+    sets += [s[: len(s) * 93 // 100] for s in sets[:10]] + [sets[0][:40], sets[0][:38], np.repeat(sets[1][:1], 1)]
+    size = np.array([len(s) for s in sets])
+    sketch = pd.Series(ngram_join.sketches(np.arange(len(sets)), np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets)).to_pylist())
+    sketch[5] = None
+    x, y = np.triu_indices(len(sets), 1)
+    plain = np.array([a == 5 or b == 5 or abs(np.frombuffer(sketch[a], np.uint8).reshape(-1, w).sum(0).astype(int) - np.frombuffer(sketch[b], np.uint8).reshape(-1, w).sum(0)).sum() <= (size[a] + size[b]) * 15 // 185 for a, b in zip(x, y) for w in [min(len(sketch[a] or b"x" * 64), len(sketch[b] or b"x" * 64))]])
+    seen, was = [], ngram_join.sketch_distance
+    monkeypatch.setattr(ngram_join, "sketch_distance", lambda a, b: seen.append(a.size) or was(a, b))
+    keep = ngram_join.near_by_sketches(sketch, size, x, y, 85, 100)
+    similar = np.array([100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (size[a] + size[b] - o) for a, b in zip(x, y)])
+    assert similar.sum() >= 10 and not (similar & ~keep).any()
+    assert not (keep & ~plain).any()  # at least as sharp as the whole sketches alone
+    assert sum(seen) < 1.5 * 64 * len(x)  # whole ones would be 256 or 512 bins a pair
